@@ -25,6 +25,8 @@ from ._shared import small_batches
 WINDOW = 8
 #: Bytes of test text in one block, and so in one broadcast.
 TEST_BLOCK = 16_000_000
+#: Bytes of documents in one shard (a longer document is a shard of its own).
+SHARD = 4_000_000
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, longest int, longest_item string, longest_at bigint, hits array<struct<start:bigint,end:bigint>>"
 
 
@@ -207,12 +209,35 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     return _merged(passes)
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, test_block: int = TEST_BLOCK, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, with all their columns, in which no window of any item occurs; one pass for each block of items."""
+    spark = documents.sparkSession
+    small_batches(spark)
+    at = documents.columns.index(text_col)
+    out = documents
+    for items in test_blocks(benchmark, item_col, item_text, test_block):
+        shipped = spark.sparkContext.broadcast(items)
+
+        def work(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            test = TestBlock(shipped.value, window)
+            for batch in batches:
+                data, offsets = flat(batch.column(at))
+                keep = [np.zeros(0, bool)]
+                for a, b in blocks(offsets, SHARD):
+                    part = LOWER[data[offsets[a] : offsets[b]]]
+                    keep.append(np.array(_rows(list(range(a, b)), part, offsets[a : b + 1] - offsets[a], test)["n_hit"]) == 0)
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+        out = out.mapInArrow(work, documents.schema)
+    return out
+
+
 def _pass(batches: Iterator[pa.RecordBatch], test: TestBlock) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int32()), ("longest_item", pa.string()), ("longest_at", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     for batch in batches:
         ids = batch.column(0).to_pylist()
         data, offsets = flat(batch.column(1))
-        for a, b in blocks(offsets, 4_000_000):
+        for a, b in blocks(offsets, SHARD):
             part = LOWER[data[offsets[a] : offsets[b]]]
             yield pa.RecordBatch.from_pydict(_rows(ids[a:b], part, offsets[a : b + 1] - offsets[a], test), schema)
 
