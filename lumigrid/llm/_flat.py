@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that are worked on at once (a longer document is a block of its own).
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 _BYTE_BASE = U(0x9E3779B97F4A7C15)
 _WORD_BASE = U(0xD6E8FEB86659FD93)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that Spark hands to Python at once: some MB of text for usual documents.
-ARROW_ROWS = 1000
+ARROW_ROWS = 400
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,9 +6,10 @@
 3. Candidates meet by band key. Their similarity is estimated from the signatures by bit counts, corrected
    for chance collisions of b bits (Li and Koenig, 2010): J = (matches / k - 2**-b) / (1 - 2**-b). Pairs far
    below the threshold (by `SIGMAS` standard deviations) go; the rest are confirmed on the full sets.
-4. First each class is held against the least class of each of its buckets; that joins most groups of copies
-   into a component. Then, in buckets that still hold several components, every pair of different components
-   is held against each other, in blocks of bounded size. A pair within one component decides nothing more.
+4. First each class is held against the most central class of each of its buckets; that joins most groups of
+   copies into a component. Then the members of buckets that still hold several components are held against each
+   other, in blocks of bounded size that estimate and confirm pairs in place. A pair within one component decides
+   nothing more, and of several links between two components one leaves a block: no block emits its pairs.
 
 At 32 bands of 4 rows a pair of similarity 0.85 is missed with probability 6e-11, one of 0.8 with 5e-8.
 
@@ -33,7 +34,7 @@ PERMUTATIONS, BITS, BANDS = 128, 4, 32
 ROWS = PERMUTATIONS // BANDS
 SIGMAS = 6
 #: Members of a bucket that meet in one task are at most about twice this many.
-MEMBERS = 128
+MEMBERS = 256
 
 _RANDOM = np.random.RandomState(20240607)
 _FACTORS = (_RANDOM.randint(0, 1 << 62, PERMUTATIONS).astype(U) << U(1)) | U(1)
@@ -185,27 +186,41 @@ def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of different components among the members (key, doc_id, component, bits) of each bucket.
+    """Confirmed links between components among the members (family, doc_id, component, bits, shingles).
 
-    A bucket of n members is dealt out as blocks of about MEMBERS, and each pair of blocks is a group of its own.
+    A family of n members is dealt out as blocks of about MEMBERS, and each pair of blocks is a group of its own.
+    Pairs are estimated and confirmed there; one link of each two components leaves the group.
     """
     least = cutoff(percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    sized = cut(members.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")))
+    sized = cut(members.groupBy("family").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")))
     dealt = (
-        members.join(sized, "key")
+        members.join(sized, "family")
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "bits")
+        .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "bits", "shingles")
     )
 
-    def pairs_of(own: np.ndarray, ids: np.ndarray, component: np.ndarray, bits: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    def links(own: np.ndarray, ids: np.ndarray, component: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], i: int, j: int) -> dict[tuple[int, int], tuple[int, int]]:
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-        go = (component[a] != component[b]) & ((ids[a] < ids[b]) if i == j else True)
-        a, b = a[go], b[go]
-        go = estimate(bits[a], bits[b]) >= least
-        return np.minimum(ids[a[go]], ids[b[go]]), np.maximum(ids[a[go]], ids[b[go]])
+        sizes = np.array([len(x) for x in sets])
+        known, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(sizes)
+        mark = np.zeros(len(known), bool)
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for a in left:
+            others = right[(component[right] != component[a]) & ((ids[right] > ids[a]) if i == j else True)]
+            others = others[estimate(bits[a][None], bits[others]) >= least]
+            if not len(others):
+                continue
+            own_tokens = tokens[ends[a] - sizes[a] : ends[a]]
+            mark[own_tokens] = True
+            their = ranges(ends[others] - sizes[others], sizes[others])
+            both = np.add.reduceat(mark[tokens[their]].astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+            mark[own_tokens] = False
+            for b in others[100 * both >= percent * (sizes[a] + sizes[others] - both)]:
+                out.setdefault((min(component[a], component[b]), max(component[a], component[b])), (ids[a], ids[b]))
+        return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -214,19 +229,20 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         def done() -> pa.RecordBatch:
             own, ids, component = (np.array([h[c] for h in held]) for c in (0, 1, 2))
             bits = np.frombuffer(b"".join(h[3] for h in held), U).reshape(len(held), -1)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs_of(own, ids, component, bits, now[1], now[2])], schema=schema)
+            found = links(own, ids, component, bits, [np.frombuffer(h[4], U) for h in held], now[1], now[2]).values()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
         for batch in batches:
-            for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now and held:
+            for family, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family, i, j) != now and held:
                     yield done()
                     held.clear()
-                now = key, i, j
+                now = family, i, j
                 held.append(tuple(rest))
         if held:
             yield done()
 
-    return dealt.repartition(parts(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(work, "a bigint, b bigint").distinct()
+    return dealt.repartition(parts(members.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(work, "a bigint, b bigint")
 
 
 def groups(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,18 +260,24 @@ def groups(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     classes = table(linkable.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "bits", "bands")).alias("first")).select("set_a", "set_b", "n_shingles", "first.*"), "classes")
     bits = classes.select("doc_id", "bits")
     buckets = classes.select(F.explode("bands").alias("key"), "doc_id")
-    least = table(buckets.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "buckets")
-    shared = table(buckets.join(least, "key"), "members")
-    sets = table(shingles(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "sets")
-    stars = shared.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    sizes = table(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = table(buckets.join(sizes, "key"), "members")
+    # The original of many copies is in the largest buckets of most bands; it is held against the others first.
+    central = shared.groupBy("doc_id").agg(F.round(F.sum(F.log2("n")), 3).alias("central"))
+    ranked = shared.select("key", "doc_id").join(central, "doc_id")
+    first = table(ranked.groupBy("key").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("least"))).alias("top")).select("key", (-F.col("top.least")).alias("first")), "pivots")
+    pivoted = shared.join(first, "key")
+    sets = table(shingles(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
+    stars = pivoted.where("first != doc_id").select(F.least("first", "doc_id").alias("a"), F.greatest("first", "doc_id").alias("b")).distinct()
     links = table(confirmed(_likely(stars, bits, percent), sets, percent), "links")
     joined = components(links)
     labelled = shared.select("key", "doc_id").join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     labelled = table(labelled, "labelled")
     mixed = cut(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"))
-    open_ = labelled.join(mixed, "key").join(bits, "doc_id").select("key", "doc_id", "component", "bits")
-    across = _across(open_, percent).join(stars, ["a", "b"], "left_anti")
-    more = table(confirmed(across, sets, percent), "links")
+    # Whoever shares a bucket is of one family; only members of buckets with several components are still open.
+    families = components(stars).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    open_ = labelled.join(mixed, "key").select("doc_id", "component").distinct().join(families, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
+    more = table(_across(open_.join(bits, "doc_id").join(sets, "doc_id").select("family", "doc_id", "component", "bits", "shingles"), percent), "links")
     # Components of the first round are contracted: their links are one link of each member to its component.
     whole = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     of_class = classes.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("id")).join(whole, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
