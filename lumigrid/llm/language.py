@@ -98,7 +98,7 @@ class Model:
 
     @property
     def labels(self) -> int:
-        return len(self.names)
+        return len(self.start)
 
     def emissions(self, words: Words) -> np.ndarray:
         """(words, labels) scores."""

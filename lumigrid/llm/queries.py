@@ -62,3 +62,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_crf_language, op2_quotation_threads, op3_bbit_minhash, op4_block_anchors, op5_dominance_packing, op6_suffix_arrays, op7_crf_html, op8_bwt_merge, op9_media_sniffing, op10_credential_links)
 }
+
+#: DuckDB SQL of the queries that SQL can express on whole tables.
+ORACLE: dict[str, str] = {}
