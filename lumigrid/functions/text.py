@@ -30,8 +30,8 @@ def long_tokens(text: Column) -> Column:
 
 
 def alpha_tokens(text: Column) -> Column:
-    """Distinct runs of three and more letters a-z that are whole words."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]{3,})\b"), F.lit(1)))
+    """Distinct word tokens of three and more letters a-z only."""
+    return F.array_distinct(F.filter(tokens(text), lambda w: w.rlike("^[a-z]{3,}$")))
 
 
 def space_tokens(text: Column) -> Column:
@@ -47,9 +47,12 @@ def hyphens_opened(text: Column) -> Column:
 
 def ngrams(words: Column, low: int, high: int) -> Column:
     """All contiguous n-grams of low to high words, joined by a space."""
-    lists = [F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i, n=n: F.array_join(F.slice(words, i + 1, n), " ")) for n in range(low, high + 1)]
-    own = [F.when(F.size(words) >= n, x).otherwise(F.array().cast("array<string>")) for n, x in zip(range(low, high + 1), lists, strict=True)]
-    return F.flatten(F.array(*own))
+
+    def of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
 
 
 def spans(words: Column, high: int = 5) -> Column:
@@ -125,7 +128,7 @@ def negated_words(text: Column, most: int = 3) -> Column:
     """Up to three words after the cue."""
     low = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^a-z]+", " ")), F.lit(" "))
     cue = negation_cue(text)
-    after = F.substring_index(low, F.concat(F.lit(" "), cue, F.lit(" ")), -1)
+    after = F.call_function("substring_index", low, F.concat(F.lit(" "), cue, F.lit(" ")), F.lit(-1))
     rest = F.split(F.trim(after), " ")
     return F.when(cue.isNull(), F.array().cast("array<string>")).otherwise(F.slice(F.filter(rest, lambda w: w != ""), 1, most))
 

@@ -196,7 +196,8 @@ def diversity(fingerprints: DataFrame, pairs_each: int = 3) -> DataFrame:
     unit = normalised(fingerprints)
     ids = fingerprints.select("id").distinct().withColumn("share", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(64)))
     near = Window.partitionBy("share").orderBy(F.crc32(F.col("id").cast("string").cast("binary")), "id")
-    pairs = ids.select(F.col("id").alias("a"), F.explode(F.array(*[F.lead("id", k).over(near) for k in range(1, pairs_each + 1)])).alias("b")).where("b is not null")
+    ahead = ids.select(F.col("id").alias("a"), F.array(*[F.lead("id", k).over(near) for k in range(1, pairs_each + 1)]).alias("bs"))
+    pairs = ahead.select("a", F.explode("bs").alias("b")).where("b is not null")
     left, right = unit.select(F.col("id").alias("a"), "cell", F.col("val").alias("va")), unit.select(F.col("id").alias("b"), "cell", F.col("val").alias("vb"))
     dots = pairs.join(left, "a").join(right, ["b", "cell"]).groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("cosine"))
     return pairs.join(dots, ["a", "b"], "left").agg(F.count("*").alias("n_pairs"), (1 - F.avg(F.coalesce("cosine", F.lit(0.0)))).alias("diversity"))

@@ -4,29 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-_Q = Window.partitionBy("qid")
+
+def _q() -> WindowSpec:
+    """The rows of a query."""
+    return Window.partitionBy("qid")
 
 
 def ranks(signal: DataFrame) -> DataFrame:
     """The signal with its rank (by score, then doc_id) and the length of its list."""
-    return signal.withColumn("rank", F.row_number().over(_Q.orderBy(F.desc("score"), "doc_id"))).withColumn("n", F.count("*").over(_Q))
+    return signal.withColumn("rank", F.row_number().over(_q().orderBy(F.desc("score"), "doc_id"))).withColumn("n", F.count("*").over(_q()))
 
 
 def normaliser(how: str) -> Column:
     """A score normalised within its query's list: none, max (min-max, constant lists 1), minmax (constant lists 0), zscore, l2."""
     s = F.col("score")
-    low, high = F.min(s).over(_Q), F.max(s).over(_Q)
+    low, high = F.min(s).over(_q()), F.max(s).over(_q())
     if how == "none":
         return s
     if how in ("max", "minmax"):
         return F.when(high == low, 1.0 if how == "max" else 0.0).otherwise((s - low) / (high - low))
     if how == "zscore":
-        sd = F.stddev_pop(s).over(_Q)
-        return F.when(sd > 0, (s - F.avg(s).over(_Q)) / sd).otherwise(0.0)
+        sd = F.stddev_pop(s).over(_q())
+        return F.when(sd > 0, (s - F.avg(s).over(_q())) / sd).otherwise(0.0)
     if how == "l2":
-        norm = F.sqrt(F.sum(s * s).over(_Q))
+        norm = F.sqrt(F.sum(s * s).over(_q()))
         return F.when(norm > 0, s / norm).otherwise(0.0)
     raise ValueError(f"unknown normalisation {how}")
 
@@ -41,7 +44,7 @@ def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
         sides.append(whole.select("qid", "doc_id", *[F.col(c).alias(f"{name}_{c}") for c in ("score", "rank", "n", "max", "minmax", "zscore", "l2")]))
     out = sides[0].join(sides[1], ["qid", "doc_id"], "full")
     for s in "ab":
-        out = out.withColumn(f"{s}_n", F.coalesce(F.max(f"{s}_n").over(_Q), F.lit(0))).withColumn(f"{s}_rank", F.coalesce(f"{s}_rank", F.col(f"{s}_n") + 1))
+        out = out.withColumn(f"{s}_n", F.coalesce(F.max(f"{s}_n").over(_q()), F.lit(0))).withColumn(f"{s}_rank", F.coalesce(f"{s}_rank", F.col(f"{s}_n") + 1))
     return out
 
 
@@ -92,7 +95,7 @@ def operator(name: str) -> Column:
 def fused(a: DataFrame, b: DataFrame, name: str = "rrf", most: int | None = None) -> DataFrame:
     """(qid, doc_id, score, rank) of two signals; the `most` best of each query if asked for."""
     out = _joined(a, b).select("qid", "doc_id", operator(name).alias("score"))
-    out = out.withColumn("rank", F.row_number().over(_Q.orderBy(F.desc(F.round("score", 9)), "doc_id")))
+    out = out.withColumn("rank", F.row_number().over(_q().orderBy(F.desc(F.round("score", 9)), "doc_id")))
     return out.where(F.col("rank") <= most) if most else out
 
 

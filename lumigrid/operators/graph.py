@@ -63,7 +63,8 @@ def similar(a: Column, b: Column) -> Column:
 def parsed_triples(answers: DataFrame) -> DataFrame:
     """(source_chunk_id, subject, predicate, object, confidence) of JSON lists, or of {triples: [...]} or {data: [...]}; blank parts go."""
     item = "array<struct<subject:string,predicate:string,object:string,confidence:double>>"
-    listed = F.coalesce(F.from_json("answer", item), F.get(F.array(F.from_json("answer", f"struct<triples:{item},data:{item}>")["triples"]), 0), F.from_json("answer", f"struct<triples:{item},data:{item}>")["data"])
+    wrapped = F.from_json("answer", f"struct<triples:{item},data:{item}>")
+    listed = F.when(F.ltrim("answer").startswith("["), F.from_json("answer", item)).otherwise(F.coalesce(wrapped["triples"], wrapped["data"]))
     rows = answers.select("source_chunk_id", F.explode(listed).alias("t")).select("source_chunk_id", "t.*")
     return rows.where("trim(coalesce(subject, '')) != '' and trim(coalesce(predicate, '')) != '' and trim(coalesce(object, '')) != ''").withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
 

@@ -10,8 +10,12 @@ from . import fingerprints as fp, similarity
 
 def char_ngrams(word: Column, high: int = 3) -> Column:
     """Character n-grams of 1 to high."""
-    lists = [F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i, n=n: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(1, high + 1)]
-    return F.concat(*lists)
+
+    def of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))
+        return F.when(F.length(word) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(n) for n in range(1, high + 1)])
 
 
 def hash_cell(prefix: str, gram: Column, cells: int) -> Column:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-_Q = Window.partitionBy("qid")
+
+def _q() -> WindowSpec:
+    """The rows of a query."""
+    return Window.partitionBy("qid")
 
 
 def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def kendall(both: DataFrame) -> DataFrame:
 
 def average_rank(c: str) -> Column:
     """Ranks with ties averaged, in ascending order."""
-    w = _Q.orderBy(c)
+    w = _q().orderBy(c)
     ties = F.count("*").over(Window.partitionBy("qid", c))
     return F.rank().over(w) + (ties - 1) / 2.0
 
@@ -51,9 +54,9 @@ def auc(scored: DataFrame, by: str | None = None) -> DataFrame:
 def transforms(signal: DataFrame) -> DataFrame:
     """(transform, qid, doc_id, score): the rank-preserving score transforms."""
     s = F.col("score")
-    n = F.count("*").over(_Q)
-    dense = F.dense_rank().over(_Q.orderBy(s)) - 1
-    row = F.row_number().over(_Q.orderBy(F.desc("score"), "doc_id"))
+    n = F.count("*").over(_q())
+    dense = F.dense_rank().over(_q().orderBy(s)) - 1
+    row = F.row_number().over(_q().orderBy(F.desc("score"), "doc_id"))
     made = {"orig": s, "x2": 2 * s, "log1p": F.log1p(F.greatest(s, F.lit(0.0))), "sqrt": F.sqrt(F.greatest(s, F.lit(0.0))), "rpr": (n - row + 1).cast("double"), "compress": F.when(n > 1, 1 + 0.001 * dense / (n - 1)).otherwise(1.0), "amplify": F.pow(s, 4), "rank_norm": F.when(n > 1, (n - row) / (n - 1)).otherwise(1.0)}
     return signal.select("qid", "doc_id", *[v.alias(k) for k, v in made.items()]).select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("transform"), F.col(k).alias("score")) for k in made])).alias("x")).select("x.transform", "qid", "doc_id", "x.score")
 
@@ -78,15 +81,15 @@ def inverse_normal(p: Column) -> Column:
 
 def calibrated(signal: DataFrame) -> DataFrame:
     """(method, qid, doc_id, score): raw, minmax, zscore, l2, rank_gauss, sigmoid, quantile and softmax scores of each list."""
-    s, n = F.col("score"), F.count("*").over(_Q)
-    low, high, mean, sd = F.min(s).over(_Q), F.max(s).over(_Q), F.avg(s).over(_Q), F.stddev_pop(s).over(_Q)
-    row = F.row_number().over(_Q.orderBy("score", F.desc("doc_id"))) - 1
-    quart = lambda p: F.percentile(s, p).over(_Q)
+    s, n = F.col("score"), F.count("*").over(_q())
+    low, high, mean, sd = F.min(s).over(_q()), F.max(s).over(_q()), F.avg(s).over(_q()), F.stddev_pop(s).over(_q())
+    row = F.row_number().over(_q().orderBy("score", F.desc("doc_id"))) - 1
+    quart = lambda p: F.percentile(s, p).over(_q())
     wide = signal.select(
         "qid", "doc_id", s.alias("raw"), F.when(high > low, (s - low) / (high - low)).otherwise(0.0).alias("minmax"), F.when(sd > 0, (s - mean) / sd).otherwise(0.0).alias("zscore"),
-        (s / F.sqrt(F.sum(s * s).over(_Q))).alias("l2"), ((row + 0.5) / n).alias("quantile"), (1 / (1 + F.exp(-(s - quart(0.5)) / F.greatest(quart(0.75) - quart(0.25), F.lit(1e-9))))).alias("sigmoid"), F.exp((s - high) / F.greatest(sd, F.lit(1e-9))).alias("e"),
+        (s / F.sqrt(F.sum(s * s).over(_q()))).alias("l2"), ((row + 0.5) / n).alias("quantile"), (1 / (1 + F.exp(-(s - quart(0.5)) / F.greatest(quart(0.75) - quart(0.25), F.lit(1e-9))))).alias("sigmoid"), F.exp((s - high) / F.greatest(sd, F.lit(1e-9))).alias("e"),
     )
-    wide = wide.withColumn("softmax", F.col("e") / F.sum("e").over(_Q)).withColumn("rank_gauss", inverse_normal(F.col("quantile")))
+    wide = wide.withColumn("softmax", F.col("e") / F.sum("e").over(_q())).withColumn("rank_gauss", inverse_normal(F.col("quantile")))
     names = ("raw", "minmax", "zscore", "l2", "quantile", "sigmoid", "softmax", "rank_gauss")
     return wide.select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("method"), F.col(k).alias("score")) for k in names])).alias("x")).select("x.method", "qid", "doc_id", "x.score")
 
@@ -103,8 +106,8 @@ def win_loss(metrics: DataFrame, a: str, b: str) -> DataFrame:
     """One row: wins, ties and losses of operator a against b on (op, qid, mrr, found_at), effect size and queries for power 0.8."""
     x, y = (metrics.where(F.col("op") == o).select("qid", F.col("mrr").alias(f"m{i}"), F.col("found_at").alias(f"f{i}")) for i, o in ((1, a), (2, b)))
     d = F.col("m1") - F.col("m2")
-    agg = x.join(y, "qid").agg(F.count("*").alias("n"), F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"), F.count_if((F.coalesce("f1", F.lit(0)) == 1) != (F.coalesce("f2", F.lit(0)) == 1)).alias("first_changed"), (F.avg(d) / F.stddev_samp(d)).alias("dz"))
-    return agg.withColumn("n_for_power", F.when(F.col("dz") != 0, F.ceil(F.pow(2.8 / F.col("dz"), 2))))
+    agg = x.join(y, "qid").agg(F.count("*").alias("n"), F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"), F.count_if((F.coalesce("f1", F.lit(0)) == 1) != (F.coalesce("f2", F.lit(0)) == 1)).alias("first_changed"), F.try_divide(F.avg(d), F.stddev_samp(d)).alias("dz"))
+    return agg.withColumn("n_for_power", F.when(F.col("dz") != 0, F.ceil(F.pow(F.try_divide(F.lit(2.8), F.col("dz")), 2))))
 
 
 def holm(tests: DataFrame, by: str, p: str = "p") -> DataFrame:
@@ -123,7 +126,7 @@ def set_differences(lists: DataFrame, a: str, b: str, ks: tuple[int, ...] = (1,
 
 def rank_gaps(signal: DataFrame, gold: DataFrame) -> DataFrame:
     """Mean gold and other score by bucket of rank."""
-    r = signal.withColumn("rank", F.row_number().over(_Q.orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
+    r = signal.withColumn("rank", F.row_number().over(_q().orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
     bucket = F.when(F.col("rank") == 1, "1").when(F.col("rank") <= 3, "2-3").when(F.col("rank") <= 5, "4-5").otherwise("6-10")
     labelled = r.join(gold.select("qid", "doc_id").distinct().withColumn("g", F.lit(1)), ["qid", "doc_id"], "left")
     return labelled.groupBy(bucket.alias("bucket")).agg(F.count_if(F.col("g") == 1).alias("n_gold"), F.count_if(F.col("g").isNull()).alias("n_other"), F.avg(F.when(F.col("g") == 1, F.col("score"))).alias("gold_mean"), F.avg(F.when(F.col("g").isNull(), F.col("score"))).alias("other_mean"))
@@ -131,8 +134,8 @@ def rank_gaps(signal: DataFrame, gold: DataFrame) -> DataFrame:
 
 def rank_lags(signal: DataFrame) -> DataFrame:
     """Rank, percent rank and the margin to the rank before, for each document of each list."""
-    w = _Q.orderBy(F.desc("score"), "doc_id")
-    return signal.select("qid", "doc_id", F.row_number().over(w).alias("rank"), F.percent_rank().over(_Q.orderBy(F.desc("score"))).alias("pct"), (F.lag("score").over(w) - F.col("score")).alias("lag_margin"))
+    w = _q().orderBy(F.desc("score"), "doc_id")
+    return signal.select("qid", "doc_id", F.row_number().over(w).alias("rank"), F.percent_rank().over(_q().orderBy(F.desc("score"))).alias("pct"), (F.lag("score").over(w) - F.col("score")).alias("lag_margin"))
 
 
 def concentration(deltas: DataFrame) -> DataFrame:
@@ -147,7 +150,7 @@ def concentration(deltas: DataFrame) -> DataFrame:
 
 def geometry(signal: DataFrame) -> DataFrame:
     """Gaps and spread of each query's list: first to second, first to fifth, deviation, list length."""
-    w = _Q.orderBy(F.desc("score"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = _q().orderBy(F.desc("score"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return signal.select("qid", F.nth_value("score", 1).over(w).alias("s1"), F.nth_value("score", 2).over(w).alias("s2"), F.nth_value("score", 5).over(w).alias("s5"), "score").groupBy("qid").agg((F.max("s1") - F.max("s2")).alias("d12"), (F.max("s1") - F.max("s5")).alias("d15"), F.stddev_pop("score").alias("sd"), F.count("*").alias("n"))
 
 
