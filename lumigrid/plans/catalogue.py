@@ -329,14 +329,14 @@ def q_rank_gaps(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.rank_gaps(_signals(spark, d)[0], _gold(spark, d)), "gold_mean", "other_mean")
 
 
-@register(f"WITH {SIGNALS} SELECT qid, doc_id, rank, round(percent_rank() OVER (PARTITION BY qid ORDER BY score DESC), 6) AS pct, round(lag(score) OVER (PARTITION BY qid ORDER BY rank) - score, 5) AS lag_margin FROM a")
+@register(f"WITH {SIGNALS} SELECT qid, doc_id, rank, round(percent_rank() OVER (PARTITION BY qid ORDER BY score DESC), 6) AS pct, round(lag(score) OVER (PARTITION BY qid ORDER BY rank) - score, 6) AS lag_margin FROM a")
 def q_rank_lags(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_rounded(stats.rank_lags(_signals(spark, d)[0]), "pct"), "lag_margin", to=5)
+    return _rounded(stats.rank_lags(_signals(spark, d)[0]), "pct", "lag_margin")
 
 
-@register(f"WITH {SIGNALS} SELECT qid, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 4) AS d12, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 5), 4) AS d15, round(stddev_pop(score), 4) AS sd, count(*) AS n FROM a GROUP BY 1")
+@register(f"WITH {SIGNALS} SELECT qid, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 6) AS d12, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 5), 6) AS d15, round(stddev_pop(score), 6) AS sd, count(*) AS n FROM a GROUP BY 1")
 def q_geometry(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(stats.geometry(_signals(spark, d)[0]), "d12", "d15", "sd", to=4)
+    return _rounded(stats.geometry(_signals(spark, d)[0]), "d12", "d15", "sd")
 
 
 @register(
@@ -617,15 +617,15 @@ def q_collisions(spark: SparkSession, d: str) -> DataFrame:
 _PLACED = f"WITH {_POST}, {CELLS.replace('xy AS', 'xyy AS').strip()}, rare AS (SELECT doc_id, min({{'d': df, 'p': phrase}}) AS r FROM post JOIN voc USING (phrase) GROUP BY 1), plc AS (SELECT doc_id, ('0x' || right(md5('A' || r.p), 8))::BIGINT % 64 AS cell FROM rare), cnt AS (SELECT phrase, cell, count(*)::DOUBLE AS n FROM post JOIN voc USING (phrase) JOIN plc USING (doc_id) GROUP BY 1, 2), pf AS (SELECT phrase, cell, n / max(n) OVER (PARTITION BY phrase) AS val FROM cnt)"
 
 
-def _phrase_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _phrase_index(spark: SparkSession, d: str, size: int = SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, places, phrase fingerprints): documents are placed by a hash of their rarest phrase."""
     p = index.phrase_postings(_read(spark, d, "documents"))
     vocab = index.vocabulary(p)
     kept = p.join(vocab.select("phrase"), "phrase", "left_semi")
     rare = kept.join(vocab, "phrase").groupBy("doc_id").agg(F.min(F.struct("df", "phrase")).alias("r"))
-    cell = Q.hash_cell("A", F.col("r.phrase"), SIZE * SIZE)
+    cell = Q.hash_cell("A", F.col("r.phrase"), size * size)
     places = rare.select("doc_id", grid.morton_x(cell).alias("x"), grid.morton_y(cell).alias("y"))
-    return kept, places, index.phrase_fingerprints(kept, places, SIZE)
+    return kept, places, index.phrase_fingerprints(kept, places, size)
 
 
 @register(f"{_PLACED} SELECT phrase AS id, cell, round(val, 6) AS val FROM pf")
@@ -656,10 +656,10 @@ def q_pseudo_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def q_oov_expansion(spark: SparkSession, d: str) -> DataFrame:
-    kept, _, prints = _phrase_index(spark, d)
+    kept, _, prints = _phrase_index(spark, d, 64)
     vocab = kept.select(F.col("phrase").alias("term")).distinct()
     words = _read(spark, d, "benchmark").select(F.explode(F.array_distinct(T.kept_words(T.tokens(F.col("text"))))).alias("term")).distinct()
-    return Q.expanded(words.join(vocab, "term", "left_anti"), prints, SIZE)
+    return Q.expanded(words.join(vocab, "term", "left_anti"), prints, 64)
 
 
 @register(f"{_PLACED}, q AS (SELECT item_id AS qid, {_KEPT} AS w FROM benchmark), qp AS (SELECT DISTINCT qid, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS phrase FROM q), s AS (SELECT qid AS id, cell, sum(val) AS v FROM qp JOIN pf USING (phrase) GROUP BY 1, 2) SELECT id, cell, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 5) AS val FROM s")
