@@ -35,3 +35,50 @@ n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 it AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM hit GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def credential_links() -> str:
+    """Spans of all kinds, weak ones where their complementary parts start within the scope."""
+    from . import credentials as c
+
+    kinds = ((0, c.ASSIGN), (1, c.ACCESS), (2, c.HEX), (3, c.LOGIN), (5, c.MIXED), (6, c.ENDPOINT))
+    raw = " UNION ALL ".join(f"SELECT rid, {k} AS k, regexp_extract_all(t, {_sql(p)}) AS m, string_split_regex(t, {_sql(p)}) AS s FROM t" for k, p in kinds)
+    names = "[" + ", ".join(f"'{k}'" for k in c.KINDS) + "]"
+    near = f"EXISTS (SELECT 1 FROM parts p WHERE p.rid = w.rid AND abs(p.a - w.a) <= {c.SCOPE} AND p.role = '{{}}')"
+    return f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({raw}),
+sp AS (SELECT rid, k, m[i] AS x, list_sum([len(z) FOR z IN s[1:i]]) + coalesce(list_sum([len(z) FOR z IN m[1:i - 1]]), 0) AS a FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw)),
+v AS (SELECT *, a + len(x) AS b, CASE WHEN k = 0 THEN len(regexp_extract(x, {_sql(c.ASSIGN)}, 2)) END AS n FROM sp),
+base AS (SELECT rid, k, a, b FROM v WHERE k = 0 AND n >= {c.LEAST_VALUE} OR k = 1 AND len(x) >= {c.LEAST_ACCESS} OR k = 2 AND len(x) >= {c.LEAST_HEX}),
+weak AS (SELECT rid, CASE WHEN k = 0 THEN 4 ELSE k END AS k, a, b FROM v WHERE (k IN (3, 6) OR k = 0 AND n < {c.LEAST_VALUE} OR k = 5 AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]'))
+         AND NOT EXISTS (SELECT 1 FROM base y WHERE y.rid = v.rid AND y.a < v.b AND v.a < y.b)),
+parts AS (SELECT *, CASE WHEN k IN (1, 3) THEN 'identifier' WHEN k = 6 THEN 'endpoint' ELSE 'secret' END AS role FROM (SELECT * FROM base UNION ALL SELECT * FROM weak)),
+linked AS (SELECT DISTINCT rid, k, a, b FROM parts w WHERE k >= 3 AND CASE role WHEN 'identifier' THEN {near.format('secret')} WHEN 'secret' THEN {near.format('identifier')} ELSE {near.format('identifier')} AND {near.format('secret')} END),
+named AS (SELECT rid, k, a, true AS is_base, {names}[k + 1] || ':' || a::BIGINT || ':' || b::BIGINT AS s FROM base UNION ALL SELECT rid, k, a, false, {names}[k + 1] || ':' || a::BIGINT || ':' || b::BIGINT FROM linked),
+agg AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(s, ',' ORDER BY a, k) FILTER (is_base) AS base, string_agg(s, ',' ORDER BY a, k) AS spans, count(*) FILTER (NOT is_base) AS n_linked FROM named GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM t LEFT JOIN agg USING (rid)"""
+
+
+#: Quotes are linked by an as-of join; threads by recursion.
+QUOTATION_THREADS = r"""
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM conversations),
+keyed AS MATERIALIZED (SELECT row_number() OVER () AS key, * FROM m),
+ln AS (SELECT key, conv_id, turn, i, l[i] AS line, regexp_extract(l[i], '^(?:\x20{0,2}>)+') AS mk FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, string_split_regex(coalesce(text, ''), '\r?\n') AS l FROM keyed))),
+dp AS (SELECT key, conv_id, turn, i, line, len(mk) - len(replace(mk, '>', '')) AS depth, trim(substring(line, len(mk) + 1)) AS body FROM ln),
+an AS (SELECT *, regexp_matches(body, '(?i)^.{0,200}(wrote|writes|a écrit|schrieb|escribió)\x20*:\x20*$') AND coalesce(lead(depth) OVER o > depth, false) AS ann FROM dp WINDOW o AS (PARTITION BY key ORDER BY i)),
+rn AS (SELECT *, sum(coalesce(lag_depth <> depth OR lag_ann OR ann OR (depth = 0 AND lag_body = ''), true)::INT) OVER (PARTITION BY key ORDER BY i) AS run FROM (SELECT *, lag(depth) OVER o AS lag_depth, lag(ann) OVER o AS lag_ann, lag(body) OVER o AS lag_body FROM an WINDOW o AS (PARTITION BY key ORDER BY i))),
+ps AS (SELECT key, conv_id, turn, run, any_value(depth) AS depth, lower(trim(regexp_replace(string_agg(body, ' ' ORDER BY i), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS h FROM rn WHERE depth > 0 AND NOT ann GROUP BY 1, 2, 3, 4 HAVING trim(string_agg(body, ' ' ORDER BY i)) <> ''),
+own AS (SELECT * FROM rn WHERE depth = 0 AND NOT ann AND body <> ''),
+said AS (SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(t, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS h FROM (SELECT conv_id, turn, string_agg(body, ' ' ORDER BY i) AS t FROM own GROUP BY key, conv_id, turn UNION ALL SELECT conv_id, turn, string_agg(body, ' ' ORDER BY i) FROM own GROUP BY key, conv_id, turn, run UNION ALL SELECT conv_id, turn, body FROM own)),
+og AS (SELECT ps.*, (SELECT max(s.turn) FROM said s WHERE s.conv_id = ps.conv_id AND s.h = ps.h AND s.turn < ps.turn) AS original FROM ps),
+rp AS (SELECT key, max(depth) AS quote_depth, count(*) AS n_passages, count(original) AS n_linked, max(original) FILTER (depth = 1) AS reply_to FROM og GROUP BY 1),
+cl AS (SELECT key, trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS clean FROM rn WHERE depth = 0 AND NOT ann GROUP BY 1),
+ds AS (SELECT conv_id, turn, role, CASE WHEN contains(text, '>') THEN coalesce(clean, '') ELSE coalesce(text, '') END AS text, coalesce(quote_depth, 0)::INT AS quote_depth, coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked, reply_to FROM keyed LEFT JOIN rp USING (key) LEFT JOIN cl USING (key)),
+pt AS (SELECT conv_id, turn, max(reply_to) AS parent FROM ds GROUP BY 1, 2),
+th(conv_id, turn, root, reply_depth, path) AS (SELECT conv_id, turn, turn, 0, lpad(turn::VARCHAR, 12, '0') FROM pt WHERE parent IS NULL UNION ALL SELECT p.conv_id, p.turn, th.root, th.reply_depth + 1, th.path || '/' || lpad(p.turn::VARCHAR, 12, '0') FROM pt p JOIN th ON th.conv_id = p.conv_id AND th.turn = p.parent)
+SELECT ds.*, root, reply_depth, path FROM ds LEFT JOIN th USING (conv_id, turn)"""

@@ -65,7 +65,9 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {
+    "op2_quotation_threads": oracle.QUOTATION_THREADS,
     "op3_bbit_minhash": oracle.BBIT_MINHASH,
     "op4_block_anchors": oracle.BLOCK_ANCHORS,
     "op6_suffix_arrays": oracle.SUFFIX_ARRAYS,
+    "op10_credential_links": oracle.credential_links(),
 }
