@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._flat import U
+from ._flat import U, mix
 from ._shared import parts
 
 #: Bytes of input (as its files have them) for one bucket at most.
@@ -26,9 +26,9 @@ LISTS_DDL = "doc_id bigint, spans binary"
 
 
 def bucket_count(documents: DataFrame, spark: SparkSession) -> int:
-    """Buckets that follow the input's size: several a partition, each of bounded bytes."""
+    """Buckets that follow the input's size: one a partition at least, each of bounded bytes."""
     size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(4 * parts(spark), min(size, 1 << 60) // BUCKET_BYTES if size < 1 << 60 else 0)
+    return max(parts(spark), min(size, 1 << 60) // BUCKET_BYTES if size < 1 << 60 else 0)
 
 
 def pack_postings(hashes: np.ndarray, positions: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets: int, width: type) -> Iterator[tuple[int, bytes]]:
@@ -63,64 +63,118 @@ def unpack_postings(raw: bytes, width: type) -> tuple[np.ndarray, np.ndarray, np
     return rest, ids[doc], place - starts[doc]
 
 
-def pack_list(positions: np.ndarray) -> bytes:
-    """Sorted positions as bytes."""
-    return np.sort(positions).astype(np.uint32).tobytes()
+def unpack_lists(raw: bytes | None, width: int = 1) -> np.ndarray:
+    """A document's values, `width` a row."""
+    out = np.frombuffer(raw or b"", np.uint32).astype(np.int64)
+    return out if width == 1 else out.reshape(-1, width)
+
+
+def pack_values(docs: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket of documents, packed documents and values): one a bucket, however many documents it has."""
+    if not len(docs):
+        return
+    values = values.reshape(len(docs), -1).astype(np.uint32)
+    to = (mix(docs.astype(U)) % U(buckets)).astype(np.int64)
+    order = np.lexsort((values[:, 0], docs, to))
+    docs, values, to = docs[order], values[order], to[order]
+    heads = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    rows = []
+    for a, b in zip(heads, np.append(heads[1:], len(to)), strict=True):
+        body = docs[a:b].astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() + values[a:b].ravel().view(np.uint8).reshape(-1, 4).T.tobytes()
+        rows.append((int(to[a]), np.array([b - a, values.shape[1]], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)))
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + 64]], pa.int64()), pa.array([r for _, r in rows[i : i + 64]], pa.binary())], schema=PACKED)
+
+
+def _unpack_values(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, width = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    body = np.frombuffer(pa.decompress(raw[16:], decompressed_size=n * (8 + 4 * width), codec="zstd", asbytes=True), np.uint8)
+    docs = np.ascontiguousarray(body[: 8 * n].reshape(8, n).T).view(np.int64).ravel()
+    return docs, np.ascontiguousarray(body[8 * n :].reshape(4, n * width).T).view(np.uint32).reshape(n, width)
+
+
+def dealt(packed: DataFrame) -> DataFrame:
+    """Packed rows with each bucket in one partition, in order; buckets are dealt out evenly."""
+    n = parts(packed.sparkSession)
+    return packed.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket")
+
+
+def each_bucket(batches: Iterator[pa.RecordBatch], done: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """done() of the packed rows of each bucket of a partition that is sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != now and held:
+                yield from done(held)
+                held = []
+            now = bucket
+            held.append(raw.as_py())
+    if held:
+        yield from done(held)
+
+
+def by_document(packed: DataFrame) -> DataFrame:
+    """(doc_id, spans): one row for each document of packed values, its values as uint32."""
+
+    def done(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        docs, values = (np.concatenate(c) for c in zip(*map(_unpack_values, held), strict=True))
+        order = np.argsort(docs, kind="stable")
+        docs, values = docs[order], values[order]
+        heads = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+        ends = np.append(heads[1:], len(docs))
+        for at in range(0, len(heads), 5000):
+            rows = [values[a:b].tobytes() for a, b in zip(heads[at : at + 5000], ends[at : at + 5000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[heads[at : at + 5000]]), pa.array(rows, pa.binary())], schema=LISTS)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each_bucket(batches, done)
+
+    return dealt(packed).mapInArrow(work, LISTS_DDL)
+
+
+class Found:
+    """Gathers (document, values) of a partition's buckets and packs them by document when they are many."""
+
+    def __init__(self, buckets: int, most: int = 2_000_000):
+        self.buckets, self.most, self.docs, self.values, self.n = buckets, most, [], [], 0
 
-def unpack_lists(lists: list[bytes] | None) -> np.ndarray:
-    """All positions of a document's lists."""
-    return np.frombuffer(b"".join(lists), np.uint32).astype(np.int64) if lists else np.zeros(0, np.int64)
+    def add(self, docs: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.docs.append(docs)
+        self.values.append(values)
+        self.n += len(docs)
+        if self.n >= self.most:
+            yield from self.out()
 
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            docs, values = np.concatenate(self.docs), np.concatenate(self.values)
+            self.docs, self.values, self.n = [], [], 0
+            yield from pack_values(docs, values, self.buckets)
 
-def by_bucket(packed: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], width: type, most: int = 2_000_000) -> DataFrame:
-    """For each document the positions whose postings a bucket's judge keeps.
+
+def by_bucket(packed: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], width: type) -> DataFrame:
+    """(doc_id, spans): for each document the positions whose postings a bucket's judge keeps.
 
     judge gets a bucket's hashes, documents and positions and returns a mask.
     """
+    return by_document(_judged(packed, judge, width, parts(packed.sparkSession)))
+
 
+def _judged(packed: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], width: type, buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        docs: list[np.ndarray] = []
-        places: list[np.ndarray] = []
+        found = Found(buckets)
 
-        def done() -> None:
-            columns = [unpack_postings(raw, width) for raw in held]
-            h, d, p = (np.concatenate(c) for c in zip(*columns, strict=True))
+        def done(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            h, d, p = (np.concatenate(c) for c in zip(*(unpack_postings(raw, width) for raw in held), strict=True))
             keep = judge(h, d, p)
-            docs.append(d[keep])
-            places.append(p[keep])
-
-        def out() -> Iterator[pa.RecordBatch]:
-            d, p = np.concatenate(docs), np.concatenate(places)
-            docs.clear()
-            places.clear()
-            order = np.argsort(d, kind="stable")
-            d, p = d[order], p[order]
-            heads = np.flatnonzero(np.diff(d, prepend=d[0] - 1)) if len(d) else np.zeros(0, np.int64)
-            ends = np.append(heads[1:], len(d))
-            for at in range(0, len(heads), 5000):
-                rows = [pack_list(p[a:b]) for a, b in zip(heads[at : at + 5000], ends[at : at + 5000], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(d[heads[at : at + 5000]]), pa.array(rows, pa.binary())], schema=LISTS)
-
-        for batch in batches:
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket != now and held:
-                    done()
-                    held.clear()
-                    if sum(map(len, docs)) >= most:
-                        yield from out()
-                now = bucket
-                held.append(raw.as_py())
-        if held:
-            done()
-        if docs:
-            yield from out()
-
-    return packed.repartition(parts(packed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(work, LISTS_DDL)
+            yield from found.add(d[keep], p[keep])
+
+        yield from each_bucket(batches, done)
+        yield from found.out()
+
+    return dealt(packed).mapInArrow(work, PACKED_DDL)
 
 
 def with_lists(documents: DataFrame, lists: DataFrame) -> DataFrame:
-    """Documents (doc_id, text) with the position lists of their id, null if there are none."""
-    gathered = lists.groupBy("doc_id").agg(F.collect_list("spans").alias("lists"))
-    return documents.join(gathered, "doc_id", "left").select("doc_id", "text", "lists")
+    """Documents (doc_id, text) with the packed values of their id, null if there are none."""
+    return documents.join(lists.withColumnRenamed("spans", "lists"), "doc_id", "left").select("doc_id", "text", "lists")

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._flat import BLOCK, U, blocks, flat, ranges, runs, window_hashes
-from ._postings import LISTS, LISTS_DDL, NO_ID, PACKED, PACKED_DDL, bucket_count, by_bucket, with_lists
+from ._postings import NO_ID, PACKED, PACKED_DDL, Found, bucket_count, by_bucket, by_document, dealt, each_bucket, unpack_lists, with_lists
 from ._shared import parts, small_batches
 from .anchors import GATHER, _Gather
 
 LENGTH, GRAM = 50, 24
 #: Bytes of segments that are gathered before they are sent, and of one shard.
-SEGMENTS, SHARD = 8_000_000, 100_000
+SEGMENTS, SHARD = 8_000_000, 15_000
 
 
 def slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -146,7 +146,7 @@ def segments(anchored: DataFrame, length: int, gram: int, buckets: int) -> DataF
                 hashes, least, inside = minimizers(part, own, length, gram)
                 if not len(least):
                     continue
-                at = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(b"".join(x), np.uint32) + own[d] for d, x in enumerate(lists[a:b]) if x])
+                at = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x, np.uint32) + own[d] for d, x in enumerate(lists[a:b]) if x])
                 wanted = np.zeros(len(least), bool)
                 at = at[at < len(hashes)]
                 for back in range(width):
@@ -194,43 +194,42 @@ class Shard:
         while step < depth:
             follow = rank[start + (place + step) % cycle]
             key = rank * top + follow
-            self.rows = np.argsort(key, kind="stable")
+            self.rows = np.argsort(key)
             ordered = key[self.rows]
             rank = np.empty(len(key), np.int64)
             rank[self.rows] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
             step, top = 2 * step, len(key) + 1
-        self.symbols = symbols[start + (place - 1) % cycle][self.rows]  #: the transform
-        self.symbols = self.symbols.astype(np.uint16)
+        # UTF-8 has no byte 255, so byte + 1 and the end mark 0 fit.
+        self.symbols = symbols[start + (place - 1) % cycle][self.rows].astype(np.uint8)  #: the transform
+        self.step = np.empty(len(key), np.int64)  #: row of each row's suffix with its symbol before it
+        self.step[np.argsort(self.symbols, kind="stable")] = np.arange(len(key))
         self.text_of = np.repeat(np.arange(len(sizes)), whole)[self.rows]
         self.place = place[self.rows]
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, prefixes): the shard of each row of the merged transform, and the rows' common prefix with the row before, up to depth.
+    """(interleave, prefixes): the shards' row (end to end) at each merged row, and the rows' common prefix with the row before, up to depth.
 
-    Each round re-sorts the interleave by the symbols it reads, which orders it by one more symbol.
+    Each round reads the interleave's symbols and re-sorts it stably by them: a row moves to that of its suffix with
+    the symbol before it, so the interleave is ordered by one more symbol. Rows part where their symbols differ
+    or where the suffixes behind the symbols had parted.
     """
-    sizes = np.array([len(s.symbols) for s in shards])
-    starts = np.cumsum(sizes) - sizes
-    every = np.concatenate([s.symbols for s in shards])
-    interleave = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
-    order_of = np.arange(len(every))  # the row of the shards' rows, end to end, that each merged row is
-    group = np.zeros(len(every), np.int32)
-    prefixes = np.full(len(every), depth, np.int32)
+    sizes = [len(s.symbols) for s in shards]
+    symbols = np.concatenate([s.symbols for s in shards])
+    step = np.concatenate([s.step + at for s, at in zip(shards, np.cumsum([0, *sizes[:-1]]), strict=True)]).astype(np.int32)
+    interleave = np.arange(len(symbols), dtype=np.int32)
+    group = np.zeros(len(symbols), np.int32)
+    prefixes = np.full(len(symbols), depth, np.int32)
     prefixes[0] = 0
+    new = np.zeros(len(symbols), bool)
     for d in range(depth):
-        read = every[order_of]
+        read = symbols[interleave]
         order = np.argsort(read, kind="stable")
-        symbol = read[order]
-        interleave, group = interleave[order], group[order]
-        new = np.zeros(len(every), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])
+        interleave, group, read = step[interleave[order]], group[order], read[order]
+        new[1:] = (read[1:] != read[:-1]) | (group[1:] != group[:-1])
         prefixes[new & (prefixes == depth)] = d
         group = np.cumsum(new, dtype=np.int32)
-        by_shard = np.argsort(interleave, kind="stable")
-        order_of[by_shard] = np.arange(len(every))
-    _ = starts
-    return order_of, prefixes
+    return interleave, prefixes
 
 
 def judge(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, text: np.ndarray, length: int, shard: int = SHARD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -257,7 +256,7 @@ def judge(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray,
     # Some minimizers at a time, whole ones.
     open_ = open_[np.argsort(of_key[open_], kind="stable")]
     sizes = size[sample[open_]]
-    limits = np.cumsum(sizes) // (16 * shard)
+    limits = np.cumsum(sizes) // (4 * shard)
     cuts = [0, *(np.flatnonzero((np.diff(limits) > 0) & (np.diff(of_key[open_]) > 0)) + 1).tolist(), len(open_)]
     flagged: list[list[np.ndarray]] = [[], []]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -299,41 +298,20 @@ def _smaller(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.n
 
 def repeats(packed: DataFrame, length: int, shard: int) -> DataFrame:
     """(doc_id, spans): runs (first window, windows) as pairs of uint32, by document."""
+    buckets = parts(packed.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        found: list[tuple[np.ndarray, ...]] = []
+        found = Found(buckets)
 
-        def done() -> None:
+        def done(held: list[bytes]) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*(_unpack_segments(raw) for raw in held), strict=True)]
-            found.extend(judge(*columns, length, shard))
+            for doc, first, count in judge(*columns, length, shard):
+                yield from found.add(doc, np.stack((first, count), axis=1))
 
-        def out() -> Iterator[pa.RecordBatch]:
-            doc, first, count = (np.concatenate(c) for c in zip(*found, strict=True))
-            found.clear()
-            order = np.lexsort((first, doc))
-            doc, pairs = doc[order], np.stack((first[order], count[order]), axis=1).astype(np.uint32)
-            heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-            ends = np.append(heads[1:], len(doc))
-            for at in range(0, len(heads), 5000):
-                rows = [pairs[a:b].tobytes() for a, b in zip(heads[at : at + 5000], ends[at : at + 5000], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[heads[at : at + 5000]]), pa.array(rows, pa.binary())], schema=LISTS)
+        yield from each_bucket(batches, done)
+        yield from found.out()
 
-        for batch in batches:
-            for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if bucket != now and held:
-                    done()
-                    held.clear()
-                    if sum(len(x[0]) for x in found) >= GATHER:
-                        yield from out()
-                now = bucket
-                held.append(raw.as_py())
-        if held:
-            done()
-        if found:
-            yield from out()
-
-    return packed.repartition(parts(packed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(work, LISTS_DDL)
+    return by_document(dealt(packed).mapInArrow(work, PACKED_DDL))
 
 
 def removal(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", keep_spans: bool = False) -> DataFrame:
@@ -356,7 +334,7 @@ def removal(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, sha
                 own = data[offsets[d] : offsets[d + 1]]
                 n, spans = len(own), []
                 if lists[d]:
-                    pairs = np.frombuffer(b"".join(lists[d]), np.uint32).reshape(-1, 2).astype(np.int64)
+                    pairs = unpack_lists(lists[d], 2)
                     edge = np.zeros(n + 1, np.int64)
                     np.add.at(edge, np.minimum(pairs[:, 0], n), 1)
                     np.add.at(edge, np.minimum(pairs[:, 0] + pairs[:, 1] + length - 1, n), -1)
