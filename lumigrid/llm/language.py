@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._flat import U, blocks, flat, ranges, word_hashes, word_spans
 from ._shared import small_batches
@@ -290,8 +290,8 @@ def sample(documents: DataFrame, *, per_language: int = PER_LANGUAGE, languages:
     if not common:
         return []
     keyed = rows.where(F.col("lang").isin(common)).select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
-    keyed.createOrReplaceTempView("_lumigrid_labelled")
-    ids = documents.sparkSession.sql(f"select doc_id from (select doc_id, row_number() over (partition by lang order by key, doc_id) as n from _lumigrid_labelled) where n <= {per_language}")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
+    ids = keyed.withColumn("place", place).where(F.col("place") <= per_language).select("doc_id")
     # At most per_language * languages ids, so they may be broadcast.
     chosen = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text", "lang", "doc_id").collect()
     return [(r.text, r.lang) for r in sorted(chosen, key=lambda r: (r.lang, r.doc_id, r.text))]
