@@ -328,7 +328,7 @@ def _judged(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[Words,
     return words, gamma, spelled, np.where(spelled, best, len(model.names)), score
 
 
-def accepted(documents: DataFrame, model: Model, *, least: float = 0.4, text_col: str = "text") -> DataFrame:
+def accepted(documents: DataFrame, model: Model, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, that have a language with at least this score."""
     spark = documents.sparkSession
     small_batches(spark)
