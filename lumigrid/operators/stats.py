@@ -87,7 +87,7 @@ def calibrated(signal: DataFrame) -> DataFrame:
     quart = lambda p: F.percentile(s, p).over(_q())
     wide = signal.select(
         "qid", "doc_id", s.alias("raw"), F.when(high > low, (s - low) / (high - low)).otherwise(0.0).alias("minmax"), F.when(sd > 0, (s - mean) / sd).otherwise(0.0).alias("zscore"),
-        (s / F.sqrt(F.sum(s * s).over(_q()))).alias("l2"), ((row + 0.5) / n).alias("quantile"), (1 / (1 + F.exp(-(s - quart(0.5)) / F.greatest(quart(0.75) - quart(0.25), F.lit(1e-9))))).alias("sigmoid"), F.exp((s - high) / F.greatest(sd, F.lit(1e-9))).alias("e"),
+        F.coalesce(F.try_divide(s, F.sqrt(F.sum(s * s).over(_q()))), F.lit(0.0)).alias("l2"), ((row + 0.5) / n).alias("quantile"), (1 / (1 + F.exp(-(s - quart(0.5)) / F.greatest(quart(0.75) - quart(0.25), F.lit(1e-9))))).alias("sigmoid"), F.exp((s - high) / F.greatest(sd, F.lit(1e-9))).alias("e"),
     )
     wide = wide.withColumn("softmax", F.col("e") / F.sum("e").over(_q())).withColumn("rank_gauss", inverse_normal(F.col("quantile")))
     names = ("raw", "minmax", "zscore", "l2", "quantile", "sigmoid", "softmax", "rank_gauss")
@@ -144,7 +144,7 @@ def concentration(deltas: DataFrame) -> DataFrame:
     whole = Window.partitionBy()
     r = deltas.withColumn("at", F.row_number().over(w)).withColumn("n", F.count("*").over(whole))
     size = F.abs("delta")
-    part = lambda p: F.sum(F.when(F.col("at") <= F.ceil(F.col("n") * p), size).otherwise(0.0)) / F.sum(size)
+    part = lambda p: F.try_divide(F.sum(F.when(F.col("at") <= F.ceil(F.col("n") * p), size).otherwise(0.0)), F.sum(size))
     return r.agg(F.max("n").alias("n"), part(0.1).alias("top_10"), part(0.2).alias("top_20"))
 
 
