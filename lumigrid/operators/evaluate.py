@@ -101,3 +101,29 @@ def numbered_by(rows: DataFrame, order: str) -> DataFrame:
     starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_start", F.lit(0)).alias("_start"))
     within_ = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
     return ranged.withColumn("_at", within_).join(starts, "_part").withColumn("number", F.col("_at") + F.col("_start")).drop("_part", "_at", "_start")
+
+
+def deep_pool(queries: DataFrame, candidates: DataFrame, documents: DataFrame, size: int = 20, shares: int = 8) -> DataFrame:
+    """(qid, doc_id, padded): each query's candidates, padded to `size` with other documents in the order of a hash.
+
+    Documents are dealt into shares by hash and a query draws from its own, so no query meets all documents.
+    """
+    low = lambda c: F.conv(F.right(F.md5(c), F.lit(8)), 16, 10).cast("bigint")
+    doc, qid = F.col("doc_id").cast("string"), F.col("qid").cast("string")
+    dealt = documents.select("doc_id", F.pmod(low(doc), F.lit(shares)).alias("share"))
+    asked = queries.select("qid", F.pmod(low(qid), F.lit(shares)).alias("share"))
+    own = candidates.select("qid", "doc_id").distinct()
+    have = own.groupBy("qid").agg(F.count("*").alias("n"))
+    others = asked.join(dealt, "share").join(own, ["qid", "doc_id"], "left_anti").join(have, "qid", "left")
+    order = F.row_number().over(Window.partitionBy("qid").orderBy(F.md5(F.concat_ws("|", qid, doc)), "doc_id"))
+    padding = others.withColumn("r", order).where(F.col("r") <= size - F.coalesce("n", F.lit(0))).select("qid", "doc_id", F.lit(True).alias("padded"))
+    return own.withColumn("padded", F.lit(False)).unionByName(padding)
+
+
+def agreement(lists: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
+    """One row per query of (op, qid, doc_id, rank): documents in all and in any operator's top k, their ratio, the best and worst gold rank."""
+    ops = lists.select(F.count_distinct("op").alias("n_ops"))
+    top = lists.where(F.col("rank") <= k).groupBy("qid", "doc_id").agg(F.count_distinct("op").alias("in_ops")).crossJoin(ops)
+    shared = top.groupBy("qid").agg(F.count_if(F.col("in_ops") == F.col("n_ops")).alias("n_all"), F.count("*").alias("n_any"))
+    ranks = lists.join(gold.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi").groupBy("qid", "op").agg(F.min("rank").alias("first")).groupBy("qid").agg(F.min("first").alias("best"), F.max("first").alias("worst"))
+    return shared.join(ranks, "qid", "left").select("qid", "n_all", "n_any", (F.col("n_all") / F.col("n_any")).alias("ratio"), "best", "worst", F.coalesce(F.col("best") != F.col("worst"), F.lit(False)).alias("differs"))

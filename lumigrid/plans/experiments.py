@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import phrases, text as T
-from ..operators import index, rerank, similarity as S, stats
+from ..operators import evaluate, index, rerank, similarity as S, stats
 from .catalogue import _GLOSSARY, _GLOSSARY_SQL, _POST, CELLS, SIGNALS, TOKENS, _cells, _gold, _lists, _metrics, _read, _rounded, _signals, register
 
 _MATRIX = f"{_POST}, m AS (SELECT doc_id, phrase, ln((SELECT count(*) FROM documents)::DOUBLE / (df + 1)) AS w FROM post JOIN voc USING (phrase))"
@@ -196,3 +196,22 @@ def q_rank_scale(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(rows.groupBy("qid").agg((F.max("u") - F.min("u")).alias("gap"), F.count_distinct("rank").alias("n_ranks")), "gap")
 
 
+
+
+@register(
+    f"""WITH {SIGNALS}, cand AS (SELECT qid, doc_id FROM a WHERE rank <= 5), qs AS (SELECT item_id AS qid, ('0x' || right(md5(item_id::VARCHAR), 8))::BIGINT % 8 AS share FROM benchmark), ds AS (SELECT doc_id, ('0x' || right(md5(doc_id::VARCHAR), 8))::BIGINT % 8 AS share FROM documents),
+pad AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY md5(qid || '|' || doc_id), doc_id) AS r FROM qs JOIN ds USING (share) WHERE NOT EXISTS (SELECT 1 FROM cand WHERE cand.qid = qs.qid AND cand.doc_id = ds.doc_id))
+SELECT qid, doc_id, false AS padded FROM cand UNION ALL SELECT qid, doc_id, true FROM pad LEFT JOIN (SELECT qid, count(*) AS n FROM cand GROUP BY 1) USING (qid) WHERE r <= 20 - coalesce(n, 0)"""
+)
+def q_deep_pool(spark: SparkSession, d: str) -> DataFrame:
+    candidates = S.top(_signals(spark, d)[0], "qid", "score", "doc_id", 5)
+    queries = _read(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
+    return evaluate.deep_pool(queries, candidates, _read(spark, d, "documents"))
+
+
+@register(
+    f"""WITH {SIGNALS}, t AS (SELECT qid, doc_id, count(DISTINCT op) AS c FROM lists WHERE rank <= 10 GROUP BY 1, 2), s AS (SELECT qid, count(*) FILTER (c = 8) AS n_all, count(*) AS n_any FROM t GROUP BY 1), g AS (SELECT qid, min(f) AS best, max(f) AS worst FROM (SELECT qid, op, min(rank) AS f FROM hit GROUP BY 1, 2) GROUP BY 1)
+SELECT qid, n_all, n_any, round(n_all::DOUBLE / n_any, 6) AS ratio, best, worst, coalesce(best <> worst, false) AS differs FROM s LEFT JOIN g USING (qid)"""
+)
+def q_operator_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(evaluate.agreement(_lists(spark, d), _gold(spark, d)), "ratio")
