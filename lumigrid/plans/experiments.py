@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import phrases, text as T
-from ..operators import evaluate, index, rerank, similarity as S, stats
+from ..operators import evaluate, fusion, index, rerank, similarity as S, stats
 from .catalogue import _GLOSSARY, _GLOSSARY_SQL, _POST, CELLS, SIGNALS, TOKENS, _cells, _gold, _lists, _metrics, _read, _rounded, _signals, register
 
 _MATRIX = f"{_POST}, m AS (SELECT doc_id, phrase, ln((SELECT count(*) FROM documents)::DOUBLE / (df + 1)) AS w FROM post JOIN voc USING (phrase))"
@@ -215,3 +215,22 @@ SELECT qid, n_all, n_any, round(n_all::DOUBLE / n_any, 6) AS ratio, best, worst,
 )
 def q_operator_agreement(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(evaluate.agreement(_lists(spark, d), _gold(spark, d)), "ratio")
+
+
+#: Score pairs of two documents, the first always ahead in the first signal.
+CONDITIONS = (("large_45_12", 45.0, 12.0), ("large_40_15", 40.0, 15.0), ("med_35_20", 35.0, 20.0), ("small_30_25", 30.0, 25.0), ("tiny_21_19", 21.0, 19.0), ("rev_12_45", 12.0, 45.0), ("rev_18_30", 18.0, 30.0))
+
+
+@register()
+def q_magnitude_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """(condition, op, a_above_b): which operators keep document A above B as only the scores' sizes change."""
+    rows = spark.createDataFrame(CONDITIONS, "qid string, x double, y double")
+    rest = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.concat(F.lit("d"), i.cast("string")).alias("doc_id"), (1.0 / (i + 3)).alias("score")))
+
+    def signal(x: float, y: float) -> DataFrame:
+        pair = F.array(F.struct(F.lit("docA").alias("doc_id"), (F.col("x") * x).alias("score")), F.struct(F.lit("docB").alias("doc_id"), (F.col("y") * y).alias("score")))
+        return rows.select("qid", F.explode(F.concat(pair, rest)).alias("p")).select("qid", "p.doc_id", "p.score")
+
+    fused = fusion.all_fused(signal(1.0, 0.5), signal(0.5, 1.0))
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("op", "qid").orderBy(F.desc(F.round("score", 9)), "doc_id")))
+    return ranked.groupBy(F.col("qid").alias("condition"), "op").agg((F.max(F.when(F.col("doc_id") == "docA", F.col("rank"))) < F.max(F.when(F.col("doc_id") == "docB", F.col("rank")))).alias("a_above_b"))

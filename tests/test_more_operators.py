@@ -143,3 +143,18 @@ def test_score_operators(spark):
 def test_cooccurrences(spark):
     docs = spark.createDataFrame([(1, "beta alpha gamma"), (2, "alpha beta xy"), (3, None)], "doc_id int, text string")
     assert {tuple(r) for r in index.cooccurrences(docs).collect()} == {("alpha", "beta", 2)}
+
+
+def test_magnitude_conditions(spark):
+    from lumigrid.plans import experiments
+
+    lost = {}
+    for r in experiments.q_magnitude_conditions(spark, "").collect():
+        lost.setdefault(r.condition, set())
+        if not r.a_above_b and r.op != "l2":
+            lost[r.condition].add(r.op)
+    sized = {"linear", "zscore", "minmax"}
+    assert lost == {
+        "large_45_12": set(), "large_40_15": set(), "med_35_20": set(), "small_30_25": sized, "tiny_21_19": sized,
+        "rev_12_45": sized | {"rrf", "combsum", "combmnz", "borda"}, "rev_18_30": sized | {"combsum", "combmnz"},
+    }
