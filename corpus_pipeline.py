@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumigrid.llm import credentials, decontaminate, language, near_dup, packing
-from lumigrid.llm._shared import shared_dir
+from lumigrid.llm._shared import shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: sets of five-word shingles of similarity 0.8 or more."""
-    groups = near_dup.groups(docs)
-    return docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One document of each group stays: sets of five-word shingles of similarity 0.8 or more.
+
+    Rows that repeat the id of a document that stays are copies of it, and one of them stays.
+    """
+    groups = table(near_dup.groups(docs), "groups")
+    left = docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    repeated = table(groups.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.limit(1).count():
+        return left
+    return left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

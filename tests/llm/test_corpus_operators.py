@@ -396,6 +396,7 @@ def test_pipeline(spark, tmp_path, texts):
     item = "the quick brown fox jumps over the lazy dog again and again"
     body = [words(80) for _ in range(6)]
     rows = [(i, t, "aa", "s", len(t)) for i, t in enumerate(body)] + [(10, body[0], "aa", "s", 1), (11, "12 34", "aa", "s", 5), (12, f"{words(40)} {item} {words(10)}", "aa", "s", 9), (13, words(40) + " password=abcdef12 end", "aa", "s", 9), (14, None, None, None, None)]
+    rows.append(rows[2])
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -404,6 +405,7 @@ def test_pipeline(spark, tmp_path, texts):
         kept = stage(spark, kept, str(tmp_path))
         assert kept.columns == docs.columns, name
     left = {r.doc_id: r.text for r in kept.collect()}
+    assert kept.count() == len(left)
     assert set(left) == {0, 1, 2, 3, 4, 5, 13} and "[SECRET] end" in left[13]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(left)
