@@ -345,6 +345,12 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 80) -> Field
     return Field({name: (float(w[i, 0]), float(w[i, 1])) for name, i in names.items()}, tr.tolist())
 
 
+@lru_cache(1)
+def default_field() -> Field:
+    """The field of the generated pages, trained once a process."""
+    return train(labelled_pages())
+
+
 def main_text(page: str | None, field: Field) -> str:
     """The main text of a page: its main blocks joined by line ends."""
     blocks = leaf_blocks(page)
@@ -355,7 +361,7 @@ def extract(pages: DataFrame, field: Field | None = None, *, html_col: str = "ht
     """One row per page: the kept columns, text, n_chars and n_blocks (of main text)."""
     spark = pages.sparkSession
     small_batches(spark)
-    shipped = spark.sparkContext.broadcast(field or train(labelled_pages()))
+    shipped = spark.sparkContext.broadcast(field or default_field())
     own = pages.select(*[F.col(k) for k in keep], F.col(html_col).cast("string").alias("_html"))
     ddl = ", ".join(f"`{k}` {t}" for k, t in own.dtypes[:-1]) + ", text string, n_chars bigint, n_blocks bigint"
 
