@@ -73,14 +73,14 @@ def q_tfidf_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {SIGNALS}, s AS (SELECT a.qid, a.doc_id, a.score AS base, max(CASE WHEN contains(lower(x), q.w) THEN 0.5::DOUBLE ELSE 0 END) AS best FROM a JOIN (SELECT item_id AS qid, string_split(lower(text), ' ')[1] AS w FROM benchmark) q USING (qid) JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) USING (doc_id) GROUP BY 1, 2, 3) SELECT qid, doc_id, round(0.7::DOUBLE * base + 0.3::DOUBLE * best, 5) AS score FROM s"""
+    f"""WITH {SIGNALS}, s AS (SELECT a.qid, a.doc_id, a.score AS base, max(CASE WHEN contains(lower(x), q.w) THEN 0.5::DOUBLE ELSE 0 END) AS best FROM a JOIN (SELECT item_id AS qid, string_split(lower(text), ' ')[1] AS w FROM benchmark) q USING (qid) JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) USING (doc_id) GROUP BY 1, 2, 3) SELECT qid, doc_id, round(0.7::DOUBLE * base + 0.3::DOUBLE * best, 8) AS score FROM s"""
 )
 def q_snippet_pool(spark: SparkSession, d: str) -> DataFrame:
     a = _signals(spark, d)[0]
     q = _read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.split(F.lower("text"), " ")[0].alias("w"))
     rows = _read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x"))
     parts = a.select("qid", "doc_id").join(q, "qid").join(rows, "doc_id").select("qid", "doc_id", F.when(F.contains(F.lower("x"), "w"), 0.5).otherwise(0.0).alias("score"))
-    return _rounded(S.snippet_pool(a, parts), "score", to=5)
+    return _rounded(S.snippet_pool(a, parts), "score", to=8)
 
 
 @register(f"WITH {_POST}, p(phrase) AS (VALUES ('the'), ('on the'), ('est'), ('apache license')) SELECT phrase, doc_id, ((len(text) - len(replace(text, phrase, ''))) / len(phrase))::BIGINT AS n FROM documents JOIN p ON contains(text, phrase)")
