@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that Spark hands to Python at once: some MB of text for usual documents.
 ARROW_ROWS = 400
+#: Bytes of them, for tables of very long documents.
+ARROW_BYTES = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +46,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows that one Arrow batch carries to a Python worker."""
+    """Bound the rows and the bytes that one Arrow batch carries to a Python worker (a longer row goes alone)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def parts(spark: SparkSession) -> int:
