@@ -32,6 +32,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Elements by their role in the HTML standard.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "canvas", "object", "select"}
+#: Those whose content is text up to their end tag, whatever it holds.
+UNPARSED = {"script", "style", "noscript", "textarea", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "br"}
 CLOSES_P = {"p", "div", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "aside", "nav", "header", "footer", "form", "blockquote", "pre", "main", "figure", "fieldset", "hr", "address"}
@@ -57,8 +59,37 @@ def _classes(attributes: str) -> str:
     return (words + hidden).lower().strip()
 
 
+@lru_cache(64)
+def _raw_marks(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])" + rf"|<!--|-->|<{name}(?=[\s/>])" * (name == "script"), re.I)
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where the end tag of the unparsed element whose content starts at `at` begins; the page's length if it has none.
+
+    In a script, the end tag of a script that a comment opens is content.
+    """
+    first, state = None, 0  # outside a comment, in one, in a script in one
+    while m := _raw_marks(name).search(page, at):
+        at, mark = m.end(), m[0].lower()
+        if mark == "<!--":
+            if not state:
+                state, at = 1, m.start() + 2  # its dashes may end it
+        elif mark == "-->":
+            state = 0
+        elif mark[1] != "/":
+            state = 2 if state else 0
+        elif state < 2:
+            return m.start()
+        else:
+            first, state = m.start() if first is None else first, 1
+    return len(page) if first is None else first
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order."""
+    page = page or ""
+    at = 0
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
@@ -74,14 +105,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page or ""):
-        whole, name = m[0], m[2]
+    while m := TOKEN.match(page, at):
+        at, whole, name = m.end(), m[0], m[2]
         if name is None:
             if not skip and not (whole[0] == "<" and len(whole) > 1):
                 parts.append(whole)
                 linked += len(whole) * (links > 0)
             continue
         name = name.lower()
+        if name in UNPARSED and not m[1] and not m[3].endswith("/"):
+            at = _raw_end(page, name, at)
         if skip:
             if m[1] and name == skip:
                 skip = None

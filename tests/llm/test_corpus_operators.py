@@ -353,6 +353,16 @@ def test_html(spark):
     assert len(rows) == 5 and got[2].text == "" and got[3].n_chars == 0 and got[1].n_chars == len(got[1].text) and got[4].text.startswith("A & B\nFirst text goes")
 
 
+def test_html_raw_elements():
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    for raw in (
+        "<script>for(i=0;i<n;i++){f(i)}</script>", "<script><!-- x</script>", "<style><!-- p{}</style>", "<SCRIPT>a<b</Script\n>", "<script>'</scripts>'; i<n</script >", "<style>a<b \"</style/>", "<textarea><p>x<!--</textarea>",
+        "<script><!-- w('<script>i<n</script>') --></script>", "<script><!--> '<script>' </script>", "<script><!-- '<script>' </script>", "<svg><style><!-- a<b</style><path/></svg>", "<noscript><img alt='<!--></noscript>",
+    ):
+        assert texts(f"<p>one</p>{raw}<p>two</p>") == ["one", "two"], raw
+    assert texts("<p>one</p><script>i<n") == ["one"] and texts("<p>one</p><script>x</script") == ["one"]
+
+
 def test_html_held_out():
     field = html_text.train(html_text.labelled_pages(300), rounds=60)
     pages = html_text.labelled_pages(80, seed=99)
