@@ -34,6 +34,8 @@ from ._shared import small_batches, table
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k"
+#: The added tokens of the `tokenizers` file.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Shares that ranks within a size are counted in, so that a frequent size is no single task's.
 SHARES = 256
 
@@ -43,22 +45,22 @@ PIECES = "row bigint, doc_id bigint, piece int, start bigint, length bigint, ids
 class Encoder:
     """Byte-level BPE ids; equal to those of the `tokenizers` file of the same vocabulary.
 
-    The vocabulary's ranks are read by tiktoken, which is several times faster at the same ids; special
-    tokens' strings in a text are ordinary text.
+    The vocabulary's ranks are read by tiktoken, which is several times faster at the same ids. The added
+    tokens' strings in a text are these tokens if `special`, as the file has it, and ordinary text otherwise.
     """
 
-    def __init__(self, folder: str | None = None):
+    def __init__(self, folder: str | None = None, *, special: bool = False):
         import public_tokenizers
         import tiktoken
 
         path = f"{folder}/{VOCABULARY}.tiktoken" if folder else public_tokenizers.path(f"{VOCABULARY}.tiktoken")
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
 
     def ids(self, text: str | None) -> np.ndarray:
         """Token ids of a text, then the end id, as little-endian uint32."""
-        own = self.encoding.encode_to_numpy(text) if text else np.zeros(0, np.uint32)
+        own = self.encoding.encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
         return np.append(own, END_ID).astype("<u4")
 
 
@@ -75,7 +77,7 @@ def pieces(documents: DataFrame, *, capacity: int = CAPACITY, tokenizers: str |
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizers)
+        encoder = Encoder(tokenizers, special=True)
         for batch in batches:
             out: list[tuple] = []
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):

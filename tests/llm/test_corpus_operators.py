@@ -192,6 +192,21 @@ def test_ids_are_those_of_the_tokenizers_file(texts):
         assert own.ids(t).tolist() == [*other.encode(t, add_special_tokens=False).ids, packing.END_ID]
 
 
+def test_added_tokens_are_those_of_the_tokenizers_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {t.content: i for i, t in other.get_added_tokens_decoder().items()} == packing.SPECIAL
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>'s", "  <|endoftext|>  x", "\n\n<|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|>", "<<|endoftext|>>", "none"]
+    want = {}
+    for i, t in enumerate(odd):
+        ids = np.array([*other.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4")
+        want[i] = (0, len(ids), zlib.crc32(ids.tobytes()))
+    rows = packing.pack(spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.start, r.length, r.ids_crc32) for r in rows} == want
+
+
 def test_dominance_is_optimal_on_small_instances():
     rnd = random.Random(2)
 
