@@ -3,8 +3,10 @@
 1. Lines are parsed for their nested quote level (leading `>` marks); a line that announces a quote (`... wrote:`)
    belongs to it. Runs of lines of one level are passages.
 2. Passages are normalised (lower case, single spaces) and hashed, and so are the own words of every message:
-   whole, by paragraph and by line.
-3. A passage is joined to the latest earlier message of its conversation that says it itself. This is an as-of
+   whole, by paragraph and by line. So are the lines and the paragraphs of a passage as sequences, and the own
+   sequences of the same lengths, for quotes of a part of a message.
+3. A passage is joined to the latest earlier message of its conversation that says it itself, or whose own lines
+   or paragraphs hold it as consecutive ones. This is an as-of
    join by hash: the latest turn in each span of turns is aggregated first, so that neither a common line nor a
    long conversation makes pairs.
 4. A message replies to the latest original among its first-level passages, else to nothing. Threads are
@@ -50,10 +52,21 @@ def _hash(text: Column) -> Column:
 
 
 def passages(of_lines: DataFrame) -> DataFrame:
-    """One row per quoted passage: conv_id, turn, key, run, depth, hash."""
+    """One row per quoted passage and hash: conv_id, turn, key, run, depth, hash, n.
+
+    The first hash (n = 1) is of the whole; the others are of its lines and of its paragraphs, n of them, if several.
+    """
     quoted = of_lines.where("depth > 0 and not announces")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), " ")
-    return quoted.groupBy("conv_id", "turn", "key", "run").agg(F.first("depth").alias("depth"), body.alias("passage")).where(F.trim("passage") != "").withColumn("hash", _hash(F.col("passage")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), "\n")
+    whole = quoted.groupBy("conv_id", "turn", "key", "run").agg(F.first("depth").alias("depth"), body.alias("passage")).where(F.trim(F.replace("passage", F.lit("\n"), F.lit(" "))) != "")
+    lines, paragraphs = (F.transform(F.filter(F.split("passage", p, -1), lambda x: normalised(x) != ""), _hash) for p in (r"\n", r"\n\s*\n"))
+    several = F.filter(F.array_distinct(F.array(*[F.struct(_sequence(x).alias("hash"), F.size(x).alias("n")) for x in (lines, paragraphs)])), lambda x: x["n"] > 1)
+    every = F.concat(F.array(F.struct(_hash(F.col("passage")).alias("hash"), F.lit(1).alias("n"))), several)
+    return whole.select("conv_id", "turn", "key", "run", "depth", F.explode(every).alias("x")).select("conv_id", "turn", "key", "run", "depth", "x.hash", "x.n")
+
+
+def _sequence(hashes: Column) -> Column:
+    return F.md5(F.array_join(hashes, ","))
 
 
 def sayings(of_lines: DataFrame) -> DataFrame:
@@ -65,6 +78,24 @@ def sayings(of_lines: DataFrame) -> DataFrame:
     return whole.select("conv_id", "turn", "said").union(paragraph.select("conv_id", "turn", "said")).union(own.select("conv_id", "turn", F.col("body").alias("said"))).select("conv_id", "turn", _hash(F.col("said")).alias("hash")).distinct()
 
 
+def sequences(of_lines: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash) of consecutive own lines, and of consecutive own paragraphs, in the lengths that the conversation's passages have."""
+    lengths = quoted.where("n > 1").groupBy("conv_id").agg(F.collect_set("n").alias("lengths"))
+    own = of_lines.where("depth = 0 and not announces and trim(body) != ''").join(lengths, "conv_id")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "body"))), lambda x: x["body"]), " ")
+    by_line = own.select("conv_id", "turn", "key", "lengths", "at", _hash(F.col("body")).alias("hash"))
+    by_paragraph = own.groupBy("conv_id", "turn", "key", "run").agg(F.first("lengths").alias("lengths"), F.min("at").alias("at"), _hash(joined).alias("hash"))
+
+    def of(parts: DataFrame) -> DataFrame:
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"])
+        held = parts.groupBy("conv_id", "turn", "key").agg(F.first("lengths").alias("lengths"), in_order.alias("parts"))
+        starts = lambda n: F.sequence(F.lit(1), F.size("parts") - n + 1)
+        some = F.transform(F.filter("lengths", lambda n: n <= F.size("parts")), lambda n: F.transform(starts(n), lambda i: _sequence(F.slice("parts", i, n))))
+        return held.select("conv_id", "turn", F.explode(F.flatten(some)).alias("hash"))
+
+    return of(by_line).union(of(by_paragraph.select("conv_id", "turn", "key", "lengths", "at", "hash"))).distinct()
+
+
 def originals(quoted: DataFrame, said: DataFrame) -> DataFrame:
     """The quoted passages with `original`: the latest earlier turn of the conversation that says them, if any."""
     wanted = said.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").withColumn("span", F.floor(F.col("turn") / TURNS))
@@ -77,7 +108,7 @@ def originals(quoted: DataFrame, said: DataFrame) -> DataFrame:
     both = wanted.select("conv_id", "hash", "span", "turn", F.col("turn").alias("says")).withColumns({"key": F.lit(None).cast("bigint"), "run": F.lit(None).cast("bigint"), "depth": F.lit(None).cast("int")})
     both = both.unionByName(asked.select("conv_id", "hash", "span", "turn", F.lit(None).cast(dict(by_span.dtypes)["last"]).alias("says"), "key", "run", "depth"))
     within = both.withColumn("near", F.max("says").over(Window.partitionBy("conv_id", "hash", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))).where("key is not null")
-    return within.join(before.select("conv_id", "hash", "span", "before"), ["conv_id", "hash", "span"], "left").select("conv_id", "turn", "key", "run", "depth", "hash", F.coalesce("near", "before").alias("original"))
+    return within.join(before.select("conv_id", "hash", "span", "before"), ["conv_id", "hash", "span"], "left").groupBy("key", "run", "depth").agg(F.max(F.coalesce("near", "before")).alias("original"))
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -104,7 +135,8 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     # Only conversations that quote need their sayings.
     talking = messages.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
     of_lines = table(lines(talking), "lines")
-    found = table(originals(passages(of_lines), sayings(of_lines)), "originals")
+    quoted = table(passages(of_lines), "passages")
+    found = table(originals(quoted, sayings(of_lines).union(sequences(of_lines, quoted))), "originals")
     replies = found.groupBy("key").agg(F.max("depth").alias("quote_depth"), F.count("*").alias("n_passages"), F.count("original").alias("n_linked"), F.max(F.when(F.col("depth") == 1, F.col("original"))).alias("reply_to"))
     clean = of_lines.where("depth = 0 and not announces").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("clean"))
     clean = clean.select("key", F.trim(F.regexp_replace("clean", r"\n{3,}", "\n\n")).alias("clean"))

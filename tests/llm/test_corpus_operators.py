@@ -348,6 +348,22 @@ def test_quotes(spark):
     assert sorted(got[1, t].path for t in range(5))[-1] == got[1, 3].path
 
 
+def test_quotes_of_parts(spark):
+    said = "One a\ntwo b\nthree c\nfour d\n\nSecond\nparagraph here.\n\nThird one.\n\nFourth one."
+    quoting = {
+        1: "> two b\n> three c\nlines of a paragraph", 2: "> Second paragraph\n> here.\n>\n> third one.\nparagraphs wrapped anew", 3: "> Third one.\n> \n>\n> Fourth one.\nparagraphs", 4: "> four d\n>\n> Second\n> paragraph here.\nlines of two",
+        5: "> two b\n> four d\nnot consecutive", 6: "> three c\n> two b\nnot in order", 7: "> two b\n> nobody said\npartly", 8: "> four d\n> five\nlonger",
+    }
+    rows = [(1, 0, "user", said)] + [(1, t, "user", x) for t, x in quoting.items()] + [(2, 1, "user", quoting[1])]
+    # The latest of several that hold it; a message does not quote itself, nor a later one.
+    rows += [(3, 0, "user", "a a\nb b\nc c"), (3, 1, "user", "a a\nb b\nd d"), (3, 2, "user", "> a a\n> b b\na a\nb b\nz"), (3, 3, "user", "a a\nb b\nc c")]
+    got = {(r.conv_id, r.turn): r for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    assert {t: got[1, t].reply_to for t in quoting} == {t: 0 if t <= 4 else None for t in quoting}
+    assert all((got[1, t].n_passages, got[1, t].n_linked, got[1, t].root) == (1, int(t <= 4), 0 if t <= 4 else t) for t in quoting)
+    assert got[2, 1].reply_to is None and got[3, 2].reply_to == 1
+
+
 def test_long_reply_chain(spark):
     n = 700
     rows = [(1, i, "user", (f"> say {i - 1}\n" if i else "") + f"say {i}") for i in range(n)]
