@@ -128,3 +128,25 @@ def snippet_pool(documents: DataFrame, snippets: DataFrame, weight: float = 0.3)
     """(qid, doc_id, score): document scores mixed with the best snippet's, which is at least 0; others unchanged."""
     best = snippets.groupBy("qid", "doc_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("best"))
     return documents.join(best, ["qid", "doc_id"], "left").select("qid", "doc_id", F.when(F.col("best").isNull(), F.col("score")).otherwise((1 - weight) * F.col("score") + weight * F.col("best")).alias("score"))
+
+
+def label_separation(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """(same_label, n, mean_cosine) of all ordered pairs of different ids of (id, label); same_label is null where a label is.
+
+    vectors are (id, cell, val); an id without cells has cosine 0 to all. No pairs are made: the cosines of a set's pairs
+    add up to the squared length of the sum of its unit vectors, less one for each of them.
+    """
+    length = vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("length")).where("length > 0")
+    unit = vectors.join(length, "id").join(labels.select("id", "label"), "id")
+    sums = unit.groupBy("label", "cell").agg(F.sum(F.col("val") / F.col("length")).alias("s"))
+    known = lambda c: F.when(F.col("label").isNotNull(), F.col(c))
+    within = sums.agg(F.coalesce(F.sum(known("s") * known("s")), F.lit(0.0)).alias("same"))
+    total = sums.groupBy("cell").agg(F.sum("s").alias("s"), F.coalesce(F.sum(known("s")), F.lit(0.0)).alias("k")).agg(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("all"), F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0)).alias("known"))
+    sizes = labels.select("id", "label").join(length, "id", "left").groupBy("label").agg(F.count("*").alias("n"), F.count("length").alias("m"))
+    add = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name)
+    pairs = F.col("n") * (F.col("n") - 1)
+    counts = sizes.withColumn("pairs", pairs).agg(add(F.col("n"), "n"), add(known("n"), "n_known"), add(known("pairs"), "n_same"), add(F.col("m"), "m"), add(known("m"), "m_known"))
+    one = within.crossJoin(total).crossJoin(counts).select("n_same", (F.col("same") - F.col("m_known")).alias("same"), (F.col("n_known") * (F.col("n_known") - 1)).alias("n_known"), (F.col("known") - F.col("m_known")).alias("known"), pairs.alias("n"), (F.col("all") - F.col("m")).alias("all"))
+    row = lambda same, n, c: F.struct(F.lit(same).cast("boolean").alias("same_label"), n.alias("n"), (c / F.when(n > 0, n)).alias("mean_cosine"))
+    rows = F.array(row(True, F.col("n_same"), F.col("same")), row(False, F.col("n_known") - F.col("n_same"), F.col("known") - F.col("same")), row(None, F.col("n") - F.col("n_known"), F.col("all") - F.col("known")))
+    return one.select(F.explode(rows).alias("x")).select("x.*").where("n > 0")

@@ -526,6 +526,12 @@ def q_label_separation(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(joined.groupBy((F.col("ql") == F.col("dl")).alias("same_label")).agg(F.count("*").alias("n"), F.avg("cosine").alias("mean_cosine")), "mean_cosine", to=5)
 
 
+@register("WITH v AS (SELECT vec_id, label, [greatest(x::DOUBLE, 0) FOR x IN embedding] AS v FROM embeddings), l AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM v) SELECT a.label = b.label AS same_label, count(*) AS n, round(avg(coalesce(list_dot_product(a.v, b.v) / nullif(a.l * b.l, 0), 0)), 5) AS mean_cosine FROM l a JOIN l b ON a.vec_id <> b.vec_id GROUP BY 1")
+def q_label_separation_all(spark: SparkSession, d: str) -> DataFrame:
+    labels = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return _rounded(S.label_separation(_cells(spark, d), labels), "mean_cosine", to=5)
+
+
 # --------------------------------------------------------------------------------------------------------------- text
 @register(r"SELECT doc_id, regexp_replace(text, '\b([a-zA-Z]+)-([a-zA-Z]+)\b', '\1 \2', 'g') AS opened FROM documents")
 def q_hyphens(spark: SparkSession, d: str) -> DataFrame:

@@ -200,3 +200,23 @@ def test_streaming(spark, tmp_path):
 def test_rerank(spark):
     df = spark.createDataFrame([("paris without the tower", "tower"), ("the tower", "tower"), ("nothing", "tower")], "t string, c string")
     assert [r.f for r in df.select(rerank.negation_factor(F.col("t"), F.col("c")).alias("f")).collect()] == [1.3, 0.5, 1.0]
+
+
+def test_label_separation(spark):
+    vectors = {1: ("a", {0: 1.0}), 2: ("a", {0: 3.0, 1: 4.0}), 3: ("b", {1: 2.0}), 4: ("b", {}), 101: ("c", {2: 5.0}), 5: (None, {0: 1.0, 2: 1.0})}
+    cells = spark.createDataFrame([(i, c, v) for i, (_, x) in vectors.items() for c, v in x.items()], "id bigint, cell bigint, val double")
+    labels = spark.createDataFrame([(i, k) for i, (k, _) in vectors.items()], "id bigint, label string")
+
+    def cosine(a, b):
+        dot = sum(v * b.get(c, 0.0) for c, v in a.items())
+        return dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())) if dot else 0.0
+
+    want = {}
+    for i, (k, x) in vectors.items():
+        for j, (m, y) in vectors.items():
+            if i != j:
+                want.setdefault(None if None in (k, m) else k == m, []).append(cosine(x, y))
+    got = {r.same_label: (r.n, r.mean_cosine) for r in S.label_separation(cells, labels).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == len(c) and got[k][1] == pytest.approx(sum(c) / len(c)) for k, c in want.items())
+    assert S.label_separation(cells.limit(0), labels.limit(0)).count() == 0
