@@ -188,7 +188,8 @@ def features(block: Block, number: int, count: int) -> list[str]:
     text = block.text
     words = text.count(" ") + 1
     out = [*_path_features(block.path), f"words={min(7, int(math.log2(words)))}", f"links={min(4, int(4 * block.linked / len(text)))}", f"stop={text[-1] in '.!?…'}", f"marks={min(3, text.count(',') + text.count('.'))}"]
-    out += [f"sign={m.lower()}" for m in SIGNS.findall(text[:400])]
+    # Each sign once, so that a long text does not gather many.
+    out += [f"sign={m}" for m in dict.fromkeys(m.lower() for m in SIGNS.findall(text))]
     if number == 0:
         out.append("first")
     if number == count - 1:

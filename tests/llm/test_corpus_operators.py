@@ -394,6 +394,12 @@ def test_html_raw_elements():
     assert texts("<p>one</p><script>i<n") == ["one"] and texts("<p>one</p><script>x</script") == ["one"]
 
 
+def test_html_signs_of_long_blocks():
+    named = lambda text: [n for n in html_text.features(html_text.Block(text, (), 0), 1, 3) if n.startswith("sign=")]
+    assert named("word " * 200 + "All Rights Reserved. We use cookies.") == ["sign=all rights reserved", "sign=cookie"]
+    assert named("Cookie, cookie and COOKIE. Subscribe. " * 50) == ["sign=cookie", "sign=subscribe"]
+
+
 def test_html_held_out():
     field = html_text.train(html_text.labelled_pages(300), rounds=60)
     pages = html_text.labelled_pages(80, seed=99)
