@@ -16,7 +16,7 @@ from lumigrid.llm._shared import shared_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language with a score of 0.3, go."""
+    """Documents without a letter, or of no language with a score of 0.3, go; if none has a label, only those without a letter."""
     return language.accepted(docs, language.fit(docs))
 
 

@@ -329,7 +329,10 @@ def _judged(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[Words,
 
 
 def accepted(documents: DataFrame, model: Model, *, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that have a language with at least this score."""
+    """The documents, with all their columns, that have a language with at least this score.
+
+    A model of no language (no document had a label) judges none: every document that has a letter stays.
+    """
     spark = documents.sparkSession
     small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
@@ -341,6 +344,9 @@ def accepted(documents: DataFrame, model: Model, *, least: float = 0.3, text_col
             data, offsets = flat(batch.column(at))
             keep = []
             for a, b in blocks(offsets, BLOCK):
+                if not m.names:
+                    keep.append(_has_letter(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                    continue
                 _, _, spelled, _, score = _judged(m, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 keep.append(spelled & (score >= least))
             if keep:

@@ -457,3 +457,11 @@ def test_pipeline(spark, tmp_path, texts):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == set(left)
     assert packed.agg(F.sum("length")).first()[0] == sum(len(packing.Encoder().ids(t)) for t in left.values())
+
+
+def test_pipeline_without_labels(spark):
+    import corpus_pipeline
+
+    texts = ["some plain words", "12 34 — €", "", None, "日本", "12 é 34", "x"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == {i: texts[i] for i in (0, 4, 5, 6)}
