@@ -2,11 +2,11 @@
 
 Base spans (assignments, access ids, hexadecimal runs) are reported as they are. Weak parts (login names,
 short or unnamed secrets, endpoints) are common in clean text, so they are reported only where complementary
-parts co-occur: parts are interval-joined within `SCOPE` code points of the same text, by scope buckets. A weak
+parts co-occur: parts are linked within `SCOPE` code points of the same text, by a running greatest end. A weak
 identifier needs a secret, a weak secret an identifier, and an endpoint both.
 
-Positions come from the pieces between matches (split) and the matches themselves, so no Python runs. A text
-has at most one part per few code points, so a scope bucket is of bounded size whatever the text.
+Positions come from the pieces between matches (split) and the matches themselves, so no Python runs. The parts
+of a text are gone through once in order, whatever their length.
 
 Edge cases: null and empty texts have no spans; repeated rows get equal rows; weak parts that overlap a base
 span are part of it and not reported again; other columns are ignored (`redact` keeps them).
@@ -14,7 +14,7 @@ span are part of it and not reported again; other columns are ignored (`redact`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._shared import table
 
@@ -27,7 +27,7 @@ MIXED = r"[A-Za-z0-9+/]{20,}={0,2}"
 ENDPOINT = r"""(?i)(https?|ftps?|ssh|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>]+"""
 #: Least characters: group 2 of an assignment, an access id, a hexadecimal run.
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
-#: Code points between the starts of parts of one credential.
+#: Code points between parts of one credential.
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "login", "short", "mixed", "endpoint")
 #: An assignment has one of these.
@@ -83,27 +83,24 @@ def parts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def linked(spans: DataFrame) -> DataFrame:
-    """(row, extra): the weak spans of each row of (row, base, weak) whose complementary parts co-occur in their scope."""
+def linked(spans: DataFrame, between: str = "gaps") -> DataFrame:
+    """(row, extra): the weak spans of each row of (row, base, weak) whose complementary parts co-occur in their scope.
+
+    The scope is of the gap between parts, which is 0 where they overlap, or of their starts (`between`: gaps, starts).
+    """
     every = spans.where("size(weak) > 0").select("row", F.explode(F.concat("base", "weak")).alias("span"))
     role = F.when(F.col("span.kind").isin(1, 3), "identifier").when(F.col("span.kind") == 6, "endpoint").otherwise("secret")
-    placed = every.select("row", "span", role.alias("role"), (F.col("span.start") / SCOPE).cast("int").alias("scope"))
-    weak = placed.where("span.kind >= 3").withColumn("near", F.explode(F.array(F.col("scope") - 1, F.col("scope"), F.col("scope") + 1)))
-    near = {r: placed.where(F.col("role") == r).select(F.col("row").alias("other"), F.col("scope").alias("there"), F.col("span.start").alias("at")).distinct() for r in ("identifier", "secret")}
-
-    def beside(rows: DataFrame, r: str) -> DataFrame:
-        """The rows with a part of role r that starts within the scope."""
-        other = near[r]
-        return rows.join(other, (F.col("row") == F.col("other")) & (F.col("near") == F.col("there")) & (F.abs(F.col("span.start") - F.col("at")) <= SCOPE), "left_semi")
-
-    def once(rows: DataFrame) -> DataFrame:
-        return rows.select("row", "span").distinct()
-
-    logins = once(beside(weak.where("role = 'identifier'"), "secret"))
-    secrets = once(beside(weak.where("role = 'secret'"), "identifier"))
-    endpoints = weak.where("role = 'endpoint'")
-    ends = once(beside(endpoints, "identifier")).intersect(once(beside(endpoints, "secret")))
-    return logins.union(secrets).union(ends).groupBy("row").agg(F.collect_list("span").alias("extra"))
+    placed = every.select("row", "span", role.alias("role"), F.col("span.start").alias("low"), F.col("span.end" if between == "gaps" else "span.start").alias("high"))
+    # Of the parts of a role that begin before a part's scope ends, one is near if the greatest end of them is.
+    here = F.struct(F.lit(0).alias("asks"), F.col("low").alias("at"), F.col("high").alias("high"))
+    asked = F.struct(F.lit(1).alias("asks"), (F.col("high") + SCOPE).alias("at"), F.lit(None).cast("int").alias("high"))
+    points = placed.withColumn("point", F.explode(F.array(here, asked))).where("point.asks = 0 and role != 'endpoint' or point.asks = 1 and span.kind >= 3")
+    before = Window.partitionBy("row").orderBy("point.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = {r: F.max(F.when(F.col("role") == r, F.col("point.high"))).over(before).alias(r) for r in ("identifier", "secret")}
+    answered = points.select("row", "span", "role", "low", "point.asks", *ends.values()).where("asks = 1")
+    beside = {r: F.coalesce(F.col(r) >= F.col("low") - SCOPE, F.lit(False)) for r in ends}
+    found = F.when(F.col("role") == "identifier", beside["secret"]).when(F.col("role") == "secret", beside["identifier"]).otherwise(beside["identifier"] & beside["secret"])
+    return answered.where(found).groupBy("row").agg(F.collect_list("span").alias("extra"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -116,11 +113,11 @@ def _count(kind: int) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{KINDS[kind]}")
 
 
-def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
+def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", between: str = "starts") -> DataFrame:
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked (`between`: see `linked`; the query's SQL has starts)."""
     found = parts(documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     held = table(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "weak"), "parts")
-    joined = held.join(linked(held.select("row", "base", "weak")), "row", "left")
+    joined = held.join(linked(held.select("row", "base", "weak"), between), "row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(f"array<{_SPAN}>"))))
     return joined.select("doc_id", *[_count(k) for k in range(3)], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(every).alias("spans"), F.coalesce(F.size("extra"), F.lit(0)).cast("bigint").alias("n_linked"))
 

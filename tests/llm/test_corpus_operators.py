@@ -335,6 +335,21 @@ def test_credentials(spark, docs):
     assert credentials.scan(empty(spark)).count() == 0
 
 
+def test_credentials_across_long_parts(spark):
+    run, url, far = "aB3" * 100, "https://q.r/" + "p" * 300, "- " * 100
+    texts = [
+        f"{run} user=bob", f"user={'z' * 300} {run}", f"user=bob {url} token: ab", f"user=bob {far} {run}", f"user=bob {run} {url}",
+        f"https://q.r/{'p' * 300}?user=bob&token=ab&{'p' * 300}", f"{run} -{far[:-2]}user=bob", f"{run} --{far[:-2]}user=bob",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in credentials.scan(df, between="gaps").collect()}
+    assert got[0] == "mixed:0:300,login:301:309" and got[1] == "login:0:305,mixed:306:606" and got[2] == "endpoint:9:321"
+    assert got[3] == "" and got[4] == "login:0:8,mixed:9:309" and [x.split(":")[0] for x in got[5].split(",")] == ["endpoint", "login", "short"]
+    assert got[6] == "mixed:0:300,login:500:508" and got[7] == ""
+    masked = {r.doc_id: r.text for r in credentials.redact(df).collect()}
+    assert masked[0] == "[SECRET] [SECRET]" and masked[2] == "user=bob [SECRET] token: ab" and masked[3] == texts[3] and masked[7] == texts[7]
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there\nHow are you?\n\nfine."), (1, 1, "assistant", "On Monday X wrote:\n> Hello  There\n> how are you?\n\nI am well."), (1, 2, "user", "> > How are you?\n> I am well.\nGreat"), (1, 3, "user", "> nobody said\nok"),
