@@ -7,27 +7,31 @@
    for chance collisions of b bits (Li and Koenig, 2010): J = (matches / k - 2**-b) / (1 - 2**-b). Pairs far
    below the threshold (by `SIGMAS` standard deviations) go; the rest are confirmed on the full sets.
 4. First each class is held against the most central class of each of its buckets; that joins most groups of
-   copies into a component. Then the members of buckets that still hold several components are held against each
-   other, in blocks of bounded size that estimate and confirm pairs in place. A pair within one component decides
-   nothing more, and of several links between two components one leaves a block: no block emits its pairs.
+   copies into a component, which is contracted: a pair within one component decides nothing more. Then, band by
+   band, the members of a bucket that still holds several components meet the members of its other components, in
+   blocks of bounded size. One pass with signatures alone leaves the members that have a likely partner; a second
+   one with full sets confirms pairs in place. A link contracts its components within the block at once, so of all
+   links between two components one leaves it: no block emits its pairs.
 
 At 32 bands of 4 rows a pair of similarity 0.85 is missed with probability 6e-11, one of 0.8 with 5e-8.
 
 Edge cases: null and empty texts have the empty set, which links with nothing; fewer words than a shingle are
-one shingle; equal sets link whatever their order; repeated rows get the same component; rows without an id
-are not linked; other columns are ignored.
+one shingle; a very long text is worked on alone; equal sets link whatever their order; of equally central classes
+(ties) the least id is the pivot; repeated rows get the same component; rows that share an id and differ are one
+document with the sets of both; rows without an id are not linked; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._flat import BLOCK, LOWER, SPACED, U, blocks, flat, mix, ranges, word_hashes, word_spans
-from ._shared import cut, parts, small_batches, table
+from ._shared import cut, drop, parts, small_batches, table
 from .components import components
 
 PERMUTATIONS, BITS, BANDS = 128, 4, 32
@@ -185,64 +189,97 @@ def _likely(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "bits_a", "bits_b").mapInArrow(work, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between components among the members (family, doc_id, component, bits, shingles).
+def _dealt(members: DataFrame, *carried: str) -> DataFrame:
+    """Members (key, doc_id, component, ..) of buckets of several components in blocks (key, kind, i, j, side, ..).
 
-    A family of n members is dealt out as blocks of about MEMBERS, and each pair of blocks is a group of its own.
-    Pairs are estimated and confirmed there; one link of each two components leaves the group.
+    The largest component of a bucket is one side of blocks of kind 0 and all others are the other side; kind 1
+    holds the others against each other. Blocks have about MEMBERS members a side; of a component that fills a
+    bucket each member is in one block for each MEMBERS others.
     """
+    counted = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    whole = counted.groupBy("key").agg(F.count("*").alias("several"), F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where("several > 1")
+    sized = cut(whole.select("key", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / MEMBERS).cast("int").alias("large"), F.ceil((F.col("all") - F.col("top.n")) / MEMBERS).cast("int").alias("rest")))
+    placed = members.join(sized, "key").withColumn("first", F.col("component") == F.col("top")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("first"), F.col("large")).otherwise(F.col("rest"))).cast("int"))
+    block = "named_struct('kind', {}, 'i', {}, 'j', {})"
+    with_first = f"transform(sequence(0, large - 1), x -> {block.format(0, 'x', 'own')})"
+    with_rest = f"transform(sequence(0, rest - 1), x -> {block.format(1, 'least(own, x)', 'greatest(own, x)')})"
+    blocks_of = F.expr(f"case when first then transform(sequence(0, rest - 1), x -> {block.format(0, 'own', 'x')}) else concat({with_first}, {with_rest}) end")
+    side = F.when((F.col("block.kind") == 0) & F.col("first"), -1).otherwise(F.col("own"))
+    spread = placed.withColumn("block", F.explode(blocks_of)).select("key", "block.kind", "block.i", "block.j", side.alias("side"), "doc_id", "component", *carried)
+    return spread.repartition(parts(members.sparkSession), "key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j")
+
+
+def _sides(kind: int, i: int, j: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    left = np.flatnonzero(side == (-1 if kind == 0 else i))
+    return left, np.flatnonzero(side == j) if kind == 0 or i != j else left
+
+
+def _each_block(batches: Iterator[pa.RecordBatch], done: Callable[[tuple, list[tuple]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        for key, kind, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, kind, i, j) != now and held:
+                yield done(now, held)
+                held = []
+            now = key, kind, i, j
+            held.append(tuple(rest))
+    if held:
+        yield done(now, held)
+
+
+def _plausible(members: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id) of the members (key, doc_id, component, bits) that have a likely partner of another component in their bucket."""
+    least = cutoff(percent)
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
+
+    def done(block: tuple, held: list[tuple]) -> pa.RecordBatch:
+        side, ids, component = (np.array([h[c] for h in held]) for c in (0, 1, 2))
+        bits = np.frombuffer(b"".join(h[3] for h in held), U).reshape(len(held), -1)
+        left, right = _sides(*block[1:], side)
+        likely = np.zeros(len(held), bool)
+        for a in left:
+            others = right[component[right] != component[a]]
+            others = others[estimate(bits[a][None], bits[others]) >= least]
+            likely[others] = True
+            likely[a] |= len(others) > 0
+        return pa.RecordBatch.from_arrays([pa.array(np.full(likely.sum(), block[0])), pa.array(ids[likely])], schema=schema)
+
+    return _dealt(members, "bits").mapInArrow(lambda batches: _each_block(batches, done), "key bigint, doc_id bigint").distinct()
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components among the members (key, doc_id, component, bits, shingles) of buckets."""
     least = cutoff(percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    sized = cut(members.groupBy("family").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")))
-    dealt = (
-        members.join(sized, "family")
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "bits", "shingles")
-    )
-
-    def links(own: np.ndarray, ids: np.ndarray, component: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], i: int, j: int) -> dict[tuple[int, int], tuple[int, int]]:
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+
+    def done(block: tuple, held: list[tuple]) -> pa.RecordBatch:
+        side, ids, component = (np.array([h[c] for h in held]) for c in (0, 1, 2))
+        bits = np.frombuffer(b"".join(h[3] for h in held), U).reshape(len(held), -1)
+        sets = [np.frombuffer(h[4], U) for h in held]
+        left, right = _sides(*block[1:], side)
         sizes = np.array([len(x) for x in sets])
         known, tokens = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(sizes)
         mark = np.zeros(len(known), bool)
-        out: dict[tuple[int, int], tuple[int, int]] = {}
+        found: list[tuple[int, int]] = []
         for a in left:
-            others = right[(component[right] != component[a]) & ((ids[right] > ids[a]) if i == j else True)]
+            others = right[component[right] != component[a]]
             others = others[estimate(bits[a][None], bits[others]) >= least]
             if not len(others):
                 continue
-            own_tokens = tokens[ends[a] - sizes[a] : ends[a]]
-            mark[own_tokens] = True
+            own = tokens[ends[a] - sizes[a] : ends[a]]
+            mark[own] = True
             their = ranges(ends[others] - sizes[others], sizes[others])
             both = np.add.reduceat(mark[tokens[their]].astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
-            mark[own_tokens] = False
+            mark[own] = False
             for b in others[100 * both >= percent * (sizes[a] + sizes[others] - both)]:
-                out.setdefault((min(component[a], component[b]), max(component[a], component[b])), (ids[a], ids[b]))
-        return out
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-
-        def done() -> pa.RecordBatch:
-            own, ids, component = (np.array([h[c] for h in held]) for c in (0, 1, 2))
-            bits = np.frombuffer(b"".join(h[3] for h in held), U).reshape(len(held), -1)
-            found = links(own, ids, component, bits, [np.frombuffer(h[4], U) for h in held], now[1], now[2]).values()
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
-
-        for batch in batches:
-            for family, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (family, i, j) != now and held:
-                    yield done()
-                    held.clear()
-                now = family, i, j
-                held.append(tuple(rest))
-        if held:
-            yield done()
+                if component[a] != component[b]:
+                    found.append((ids[a], ids[b]))
+                    component[component == component[b]] = component[a]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
-    return dealt.repartition(parts(members.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(work, "a bigint, b bigint")
+    return _dealt(members, "bits", "shingles").mapInArrow(lambda batches: _each_block(batches, done), "a bigint, b bigint")
 
 
 def groups(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,14 +311,15 @@ def groups(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     labelled = shared.select("key", "doc_id").join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     labelled = table(labelled, "labelled")
     mixed = cut(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"))
-    # Whoever shares a bucket is of one family; only members of buckets with several components are still open.
-    families = components(stars).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
-    open_ = labelled.join(mixed, "key").select("doc_id", "component").distinct().join(families, "doc_id", "left").withColumn("family", F.coalesce("family", "doc_id"))
-    more = table(_across(open_.join(bits, "doc_id").join(sets, "doc_id").select("family", "doc_id", "component", "bits", "shingles"), percent), "links")
+    open_ = table(labelled.join(mixed, "key"), "open")
+    likely = table(_plausible(open_.join(bits, "doc_id"), percent), "likely")
+    some = open_.join(likely, ["key", "doc_id"], "left_semi").join(bits, "doc_id").join(sets, "doc_id")
+    more = table(_across(some, percent), "links")
     # Components of the first round are contracted: their links are one link of each member to its component.
     whole = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     of_class = classes.select("set_a", "set_b", "n_shingles", F.col("doc_id").alias("id")).join(whole, "id", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     placed = table(of_class, "components")
+    drop(classes, sizes, shared, first, sets, links, labelled, open_, likely, more)
     return (
         signed.select("doc_id", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b", "n_shingles"], "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id")))
