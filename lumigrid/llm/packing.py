@@ -13,9 +13,12 @@ and packed by their sizes. Items of one size are interchangeable, so the instanc
 
 Each step handles all items of a size at once and emits a *run*: sequences that have the same pattern of
 sizes. Runs number at most a few thousand; documents look their place up by their rank within their size.
+Pieces that fill a sequence alone are fixed where they lie, without a shuffle. A size's other pieces are
+ranked in shares of about `SHARE`, so a size that a third of all documents have is as many tasks as it needs.
 
-Edge cases: null and empty texts are documents of the end token alone; repeated rows are packed as often as
-they occur; an empty table gives an empty result; other columns are ignored.
+Edge cases: null and empty texts are documents of the end token alone; a very long text is cut into pieces;
+repeated rows are packed as often as they occur; pieces of one size (ties) are ranked by their rows; null ids
+stay null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k"
 #: The added tokens of the `tokenizers` file.
 SPECIAL = {"<|endoftext|>": 50256}
-#: Shares that ranks within a size are counted in, so that a frequent size is no single task's.
-SHARES = 256
+#: Items of one size that are ranked together, about; a size with more of them has more shares.
+SHARE = 20_000
 
 PIECES = "row bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -45,18 +48,18 @@ PIECES = "row bigint, doc_id bigint, piece int, start bigint, length bigint, ids
 class Encoder:
     """Byte-level BPE ids; equal to those of the `tokenizers` file of the same vocabulary.
 
-    The vocabulary's ranks are read by tiktoken, which is several times faster at the same ids. The added
-    tokens' strings in a text are these tokens if `special`, as the file has it, and ordinary text otherwise.
+    The vocabulary's ranks are read by tiktoken, which is several times faster at the same ids. As the file has
+    it, the added tokens' strings in a text are these tokens.
     """
 
-    def __init__(self, folder: str | None = None, *, special: bool = False):
+    def __init__(self, folder: str | None = None):
         import public_tokenizers
         import tiktoken
 
         path = f"{folder}/{VOCABULARY}.tiktoken" if folder else public_tokenizers.path(f"{VOCABULARY}.tiktoken")
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL if special else {})
+        self.encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
     def ids(self, text: str | None) -> np.ndarray:
         """Token ids of a text, then the end id, as little-endian uint32."""
@@ -77,7 +80,7 @@ def pieces(documents: DataFrame, *, capacity: int = CAPACITY, tokenizers: str |
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizers, special=True)
+        encoder = Encoder(tokenizers)
         for batch in batches:
             out: list[tuple] = []
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -240,41 +243,44 @@ def pack(documents: DataFrame, *, capacity: int = CAPACITY, tokenizers: str | No
     """One row per piece with its sequence_id and offset; sequences are gapless from offset 0."""
     spark: SparkSession = documents.sparkSession
     own = table(pieces(documents, capacity=capacity, tokenizers=tokenizers, id_col=id_col, text_col=text_col), "pieces")
-    share = F.pmod(F.xxhash64("row", "piece"), F.lit(SHARES)).cast("int")
-    shared = own.withColumn("share", share)
-    # At most capacity x SHARES counts; their sums place each share within its size.
-    counted = shared.groupBy("length", "share").agg(F.count("*").alias("n"))
-    per_share: dict[int, np.ndarray] = {}
-    for length, at, n in counted.toLocalIterator():
-        per_share.setdefault(length, np.zeros(SHARES, np.int64))[at] = n
-    places = slots(solve({length: int(n.sum()) for length, n in per_share.items()}, capacity))
+    # A piece of the whole capacity is a fixed set by itself; its sequence is its place in the table, below 0.
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    whole = own.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    rest = own.where(F.col("length") < capacity)
+    # One row for each size, so at most the capacity.
+    sizes = {r.length: r["count"] for r in rest.groupBy("length").count().collect()}
+    if not sizes:
+        return whole
+    shares = spark.createDataFrame([(s, -(-n // SHARE)) for s, n in sizes.items()], "length bigint, shares bigint")
+    shared = rest.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("row", "piece"), F.col("shares"))).select("row", *columns, "share")
+    # One count for each share, of SHARE items; their sums place the shares within their size.
+    per_share = {s: np.zeros(-(-n // SHARE), np.int64) for s, n in sizes.items()}
+    for length, at, n in shared.groupBy("length", "share").agg(F.count("*").alias("n")).toLocalIterator():
+        per_share[length][at] = n
+    places = slots(solve(sizes, capacity))
     firsts = {length: np.cumsum(n) - n for length, n in per_share.items()}
     shipped = spark.sparkContext.broadcast((places, firsts))
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, firsts = shipped.value
-        seen: dict[tuple[int, int], int] = {}
+        now, before = None, 0
         for batch in batches:
             length, at = batch.column("length").to_numpy(), batch.column("share").to_numpy()
-            key = length * SHARES + at
-            order = np.argsort(key, kind="stable")
-            heads = np.flatnonzero(np.diff(key[order], prepend=-1))
-            sequence, offset = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
-            for a, b in zip(heads, np.append(heads[1:], len(key)), strict=True):
-                who = order[a:b]
-                size, s = int(length[who[0]]), int(at[who[0]])
-                before = seen.get((size, s), 0)
-                seen[size, s] = before + len(who)
-                rank = firsts[size][s] + before + np.arange(len(who))
+            heads = np.flatnonzero(np.append(True, (length[1:] != length[:-1]) | (at[1:] != at[:-1]))[: len(length)])
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+            for a, b in zip(heads, np.append(heads[1:], len(length)), strict=True):
+                size, s = int(length[a]), int(at[a])
+                if (size, s) != now:
+                    now, before = (size, s), 0
+                rank = firsts[size][s] + before + np.arange(b - a)
+                before += b - a
                 run = places[size][np.searchsorted(places[size][:, 0], rank, "right") - 1]
                 within = rank - run[:, 0]
-                sequence[who] = run[:, 1] + within // run[:, 2]
-                offset[who] = run[:, 3] + within % run[:, 2] * size
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], schema=schema)
+                sequence[a:b] = run[:, 1] + within // run[:, 2]
+                offset[a:b] = run[:, 3] + within % run[:, 2] * size
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], schema=schema)
 
     # All pieces of one share and size in one partition, in one order however often the stage runs.
     dealt = shared.repartition("length", "share").sortWithinPartitions("length", "share", "row", "piece")
-    return dealt.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
-
-
+    return whole.union(dealt.mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"))
