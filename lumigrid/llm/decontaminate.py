@@ -4,23 +4,27 @@ Each block of documents (a shard) gets the suffix array of its words, sorted by
 the longest test item. Every suffix of every item is then binary-searched in it: the interval of training
 suffixes that agree with it is narrowed word by word until it is empty, which yields the longest verbatim
 match and, at the depth of a window, all places where the window occurs. A document lies in one shard, so
-nothing is shuffled. The test set is read in blocks of bounded size; each block takes one pass.
-
-Edge cases: null and empty texts have no words and no hit; an item without words or with a null id has no
-window; an item of fewer words than a window is one window; repeated items of one id count once; repeated
-documents each get their row; other columns of documents are ignored.
+no text is shuffled. The test set is read in blocks of bounded size; each block takes one pass, and what several
+passes find is put together by row.
+
+Edge cases: null and empty texts have no words and no hit; a very long text is a shard of its own; an item
+without words or with a null id has no window; an item of fewer words than a window is one window; repeated
+items of one id count once; repeated documents, documents without an id and documents that share an id each get
+their own row; of longest matches of one length (ties) the last item by name and then the last place is told;
+an empty table gives an empty result; other columns of documents are ignored (`clean` keeps them).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._flat import ALNUM, LOWER, blocks, flat, ranges, runs, word_hashes, word_spans
-from ._shared import small_batches
+from ._shared import small_batches, table
 
 WINDOW = 8
 #: Bytes of test text in one block, and so in one broadcast.
@@ -97,6 +101,7 @@ class TestBlock:
         data = LOWER[data]
         starts, ends, self.offsets = word_spans(data, offsets, ALNUM)
         self.names = np.array([i for i, _ in items], object)
+        self.order = np.unique(self.names.astype(str), return_inverse=True)[1] if items else np.zeros(0, np.int64)
         self.words = word_hashes(data, starts, ends)
         sizes = np.diff(self.offsets)
         self.item = np.repeat(np.arange(len(items)), sizes)
@@ -149,8 +154,10 @@ def _rows(ids: list, data: np.ndarray, offsets: np.ndarray, test: TestBlock) ->
             np.add.at(cover, at, 1)
             np.add.at(cover, at + depth, -1)
             pairs.append(np.unique(doc_of[at] * len(test.names) + item[window]))
-            inside = doc_of[place]
-            longest[inside], what[inside], where[inside] = depth, item, place - words_of[inside]
+            # The last of a document's places stays.
+            last = np.lexsort((place, test.order[item], doc_of[place]))
+            inside = doc_of[place[last]]
+            longest[inside], what[inside], where[inside] = depth, item[last], place[last] - words_of[inside]
     hit = np.cumsum(cover[:-1]) > 0
     sums = np.concatenate(([0], np.cumsum(hit)))
     n_hit = sums[words_of[1:]] - sums[words_of[:-1]]
@@ -192,21 +199,17 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     spark = documents.sparkSession
     small_batches(spark)
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    passes = []
-    for items in test_blocks(benchmark, item_col, item_text, test_block) if benchmark is not None else []:
-        shipped = spark.sparkContext.broadcast(items)
-
-        def work(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            test = TestBlock(shipped.value, window)
-            yield from _pass(batches, test)
-
-        passes.append(docs.mapInArrow(work, SCHEMA))
-    if not passes:
-        empty = TestBlock([], window)
-        return docs.mapInArrow(lambda batches: _pass(batches, empty), SCHEMA)
-    if len(passes) == 1:
-        return passes[0]
-    return _merged(passes)
+    tests = test_blocks(benchmark, item_col, item_text, test_block) if benchmark is not None else iter(())
+    first, second = next(tests, []), next(tests, None)
+    if second is None:
+        return _passed(docs, first, window)
+    # A row is known by its number in a table, whatever its id.
+    rows = table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    sizes = table(_passed(rows, [], window, True).select("row", "doc_id", "n_words"), "sizes")
+    found = []
+    for items in chain((first, second), tests):
+        found.append(table(_passed(rows, items, window, True).where("n_hit > 0").drop("doc_id", "n_words"), "hits"))
+    return _merged(sizes, found)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, test_block: int = TEST_BLOCK, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -228,41 +231,51 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, t
                     keep.append(np.array(_rows(list(range(a, b)), part, offsets[a : b + 1] - offsets[a], test)["n_hit"]) == 0)
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-        out = out.mapInArrow(work, documents.schema)
+        # Each pass is written, so that no task holds more than one block of items.
+        out = (out if out is documents else table(out, "clean")).mapInArrow(work, documents.schema)
     return out
 
 
-def _pass(batches: Iterator[pa.RecordBatch], test: TestBlock) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int32()), ("longest_item", pa.string()), ("longest_at", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        data, offsets = flat(batch.column(1))
-        for a, b in blocks(offsets, SHARD):
-            part = LOWER[data[offsets[a] : offsets[b]]]
-            yield pa.RecordBatch.from_pydict(_rows(ids[a:b], part, offsets[a : b + 1] - offsets[a], test), schema)
+def _passed(rows: DataFrame, items: list[tuple[str, str]], window: int, numbered: bool = False) -> DataFrame:
+    """One pass of a block of items over rows (doc_id, text, and their `row` if numbered)."""
+    shipped = rows.sparkSession.sparkContext.broadcast(items)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = TestBlock(shipped.value, window)
+        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int32()), ("longest_item", pa.string()), ("longest_at", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] + [("row", pa.int64())] * numbered)
+        for batch in batches:
+            ids, numbers = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist() if numbered else []
+            data, offsets = flat(batch.column("text"))
+            for a, b in blocks(offsets, SHARD):
+                part = LOWER[data[offsets[a] : offsets[b]]]
+                found = _rows(ids[a:b], part, offsets[a : b + 1] - offsets[a], test)
+                yield pa.RecordBatch.from_pydict(found | ({"row": numbers[a:b]} if numbered else {}), schema)
+
+    return rows.mapInArrow(work, SCHEMA + ", row bigint" * numbered)
 
 
-def _merged(passes: list[DataFrame]) -> DataFrame:
-    """Passes over blocks of items, put together by document; rows repeated in the input stay repeated."""
-    every = passes[0]
-    for p in passes[1:]:
+def _merged(sizes: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """The rows of `sizes` (row, doc_id, n_words) with what all passes found in them."""
+    every = found[0]
+    for p in found[1:]:
         every = every.unionByName(p)
-    joined = every.groupBy("doc_id", "n_words").agg(
-        (F.count("*") / len(passes)).cast("int").alias("copies"),
+    joined = every.groupBy("row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.max(F.struct("longest", "longest_item", "longest_at")).alias("best"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("spans"),
     )
+    # A text's hit runs are at most an eighth of its words, which one row holds anyway.
     merged = F.expr(
         "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) -> "
         "case when size(acc) > 0 and element_at(acc, -1).end >= x.start then "
         "concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))) "
         "else concat(acc, array(x)) end)"
     )
-    return joined.withColumn("hits", merged).select(
-        "doc_id", "n_words", F.expr("aggregate(hits, 0L, (n, x) -> n + x.end - x.start)").alias("n_hit"), "items",
-        F.col("best.longest").alias("longest"), F.col("best.longest_item").alias("longest_item"), F.col("best.longest_at").alias("longest_at"), "hits", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy"),
-    ).drop("_copy")
+    whole = sizes.join(joined.withColumn("hits", merged).drop("spans"), "row", "left")
+    return whole.select(
+        "doc_id", "n_words", F.coalesce(F.expr("aggregate(hits, 0L, (n, x) -> n + x.end - x.start)"), F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce(F.col("best.longest"), F.lit(0)).alias("longest"), F.col("best.longest_item").alias("longest_item"), F.col("best.longest_at").alias("longest_at"), F.coalesce("hits", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("hits"),
+    )
 
 
 def digest(items: Column) -> Column:
