@@ -6,16 +6,18 @@ of training words; transitions between languages are learned with them. A docume
 with the largest mean posterior over its words, which is also its score, so that code-switched text shows as
 a mixture; `label_words` returns the words' own labels as runs.
 
-Training: a bounded sample of labelled rows (`PER_LANGUAGE` documents for each of at most `LANGUAGES` values,
-`WORDS` consecutive words each, chosen by hashes). Sequences are spliced from stretches of these documents,
+Training: a bounded sample of labelled rows (`PER_LANGUAGE` documents of each language, `WORDS` consecutive
+words each, chosen by hashes and cut out before anything reaches the driver). Sequences are spliced from stretches of these documents,
 so that transitions are seen within and between languages. Weights are fitted on the driver by Adam on the
 exact conditional likelihood; its gradient comes from the same forward-backward.
 
 Forward-backward over documents of any length runs by blocks of `STEPS` words: products of the transfer
 matrices of each block, then messages across the blocks of a document, then within all blocks at once.
 
-Edge cases: null texts and texts without a letter are `und` with score 0; an empty training table labels
-everything `und`; repeated rows get equal rows; other columns are ignored.
+Edge cases: null texts and texts without a letter are `und` with score 0; very long texts are gone through in
+blocks of words; of languages with equal posteriors (ties) the first by name is taken; an empty training table
+labels everything `und`; an empty table gives an empty result; null ids stay null and are not trained on;
+repeated rows get equal rows; other columns are ignored (`accepted` keeps them).
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ._flat import U, blocks, flat, ranges, word_hashes, word_spans
 from ._shared import small_batches
 
-PER_LANGUAGE, LANGUAGES, WORDS = 250, 64, 300
+PER_LANGUAGE, WORDS = 250, 300
+#: Characters of a sampled text at most, on average for each of its words.
+WORD_CHARS = 20
 SEQUENCES, LENGTH, ROUNDS = 1600, 64, 60
 STEPS = 64
 BLOCK = 1_000_000
@@ -283,18 +287,22 @@ def train(rows: list[tuple[str, str]], *, sequences: int = SEQUENCES, length: in
     return model
 
 
-def sample(documents: DataFrame, *, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most per_language labelled texts of each of the most frequent languages, by order of a hash of the id."""
+def sample(documents: DataFrame, *, per_language: int = PER_LANGUAGE, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """Stretches of at most `words` words of at most per_language labelled documents of every language, by order of a hash of the id.
+
+    Of rows that repeat an id and a language, one stretch is taken.
+    """
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    if not common:
-        return []
-    keyed = rows.where(F.col("lang").isin(common)).select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
+    keyed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("key"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    ids = keyed.withColumn("place", place).where(F.col("place") <= per_language).select("doc_id")
-    # At most per_language * languages ids, so they may be broadcast.
-    chosen = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text", "lang", "doc_id").collect()
-    return [(r.text, r.lang) for r in sorted(chosen, key=lambda r: (r.lang, r.doc_id, r.text))]
+    ids = keyed.withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
+    # At most per_language ids of each language, so they may be broadcast.
+    chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
+    spaced = F.split("text", r"[\x20\x09-\x0D]+")
+    begin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size("spaced") - words, F.lit(0)) + 1).cast("int")
+    cut = F.substring(F.array_join(F.slice("spaced", begin + 1, words), " "), 1, words * WORD_CHARS)
+    stretches = chosen.select("doc_id", "lang", spaced.alias("spaced")).groupBy("lang", "doc_id").agg(F.min(cut).alias("text")).collect()
+    return [(r.text, r.lang) for r in sorted(stretches, key=lambda r: (r.lang, r.doc_id))]
 
 
 def fit(documents: DataFrame, **options) -> Model:
