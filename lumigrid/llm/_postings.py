@@ -3,6 +3,10 @@
 A posting is (hash, document, position). One row holds all postings of one bucket from some MB of text:
 hashes as they are, positions as small differences, and the ids and lengths of the documents. A bucket gets
 the hashes of one residue, so one frequent passage spreads over as many buckets as it has windows.
+
+What the postings that a task gathers decide among themselves does not travel by hash: the decided positions go
+to their documents, and of a frequent hash only its deciding postings reach the bucket, so a passage in a third of
+all documents costs a bucket a few postings for each gathered `GATHER`, not one for each document.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from ._shared import parts
 #: Bytes of input (as its files have them) for one bucket at most.
 BUCKET_BYTES = 16_000_000
 NO_ID = (1 << 63) - 1
+#: Postings that are gathered before they are sent by bucket.
+GATHER = 2_000_000
+#: First number of a packed row that holds decided values and no postings.
+DECIDED = -1
 PACKED = pa.schema([("bucket", pa.int64()), ("postings", pa.binary())])
 PACKED_DDL = "bucket bigint, postings binary"
 LISTS = pa.schema([("doc_id", pa.int64()), ("spans", pa.binary())])
@@ -26,9 +34,13 @@ LISTS_DDL = "doc_id bigint, spans binary"
 
 
 def bucket_count(documents: DataFrame, spark: SparkSession) -> int:
-    """Buckets that follow the input's size: one a partition at least, each of bounded bytes."""
-    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(parts(spark), min(size, 1 << 60) // BUCKET_BYTES if size < 1 << 60 else 0)
+    """Buckets that follow the input's size: one a partition at least, each of bounded bytes.
+
+    The size is that of the tables which the plan reads, as the estimate of a join may be a product.
+    """
+    leaves = documents._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [n for i in range(leaves.size()) if (n := int(str(leaves.apply(i).stats().sizeInBytes()))) < 1 << 60]
+    return max(parts(spark), sum(known) // BUCKET_BYTES)
 
 
 def pack_postings(hashes: np.ndarray, positions: np.ndarray, ids: np.ndarray, sizes: np.ndarray, buckets: int, width: type) -> Iterator[tuple[int, bytes]]:
@@ -93,6 +105,61 @@ def _unpack_values(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return docs, np.ascontiguousarray(body[8 * n :].reshape(4, n * width).T).view(np.uint32).reshape(n, width)
 
 
+def _as_decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    mark = np.array([DECIDED], np.int64).tobytes()
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark + raw for raw in batch.column(1).to_pylist()], pa.binary())], schema=PACKED)
+
+
+def decided(docs: np.ndarray, values: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Values that need no bucket, packed for `split_decided`."""
+    yield from _as_decided(pack_values(docs, values, buckets))
+
+
+def split_decided(held: list[bytes]) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    """(packed rows that a bucket has to judge, decided documents and values) of its rows."""
+    is_decided = [int.from_bytes(raw[:8], "little", signed=True) == DECIDED for raw in held]
+    return [raw for raw, d in zip(held, is_decided, strict=True) if not d], [_unpack_values(raw[8:]) for raw, d in zip(held, is_decided, strict=True) if d]
+
+
+class Gather:
+    """Collects postings of successive blocks of documents, decides what they decide among themselves, and packs the others by bucket.
+
+    local() gets hashes, documents and positions and returns masks of those that are decided to be kept and of those
+    that the bucket needs.
+    """
+
+    def __init__(self, buckets: int, width: type, local: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]):
+        self.buckets, self.width, self.local = buckets, width, local
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.places, self.ids, self.sizes, self.at, self.n = [], [], [], [], 0, 0
+
+    def add(self, hashes: np.ndarray, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.hashes.append(hashes)
+        self.places.append(places + self.at)
+        self.ids.append(ids)
+        self.sizes.append(sizes)
+        self.at += int(sizes.sum())
+        self.n += len(hashes)
+        if self.n >= GATHER:
+            yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            hashes, places, ids, sizes = (np.concatenate(x) for x in (self.hashes, self.places, self.ids, self.sizes))
+            self.clear()
+            starts = np.cumsum(sizes) - sizes
+            doc = np.searchsorted(starts, places, "right") - 1
+            within = places - starts[doc]
+            kept, sent = self.local(hashes, ids[doc], within)
+            yield from decided(ids[doc[kept]].astype(np.int64), within[kept], self.buckets)
+            rows = list(pack_postings(hashes[sent], places[sent], ids, sizes, self.buckets, self.width))
+            for i in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[i : i + 64]], pa.int64()), pa.array([r for _, r in rows[i : i + 64]], pa.binary())], schema=PACKED)
+
+
 def dealt(packed: DataFrame) -> DataFrame:
     """Packed rows with each bucket in one partition, in order; buckets are dealt out evenly."""
     n = parts(packed.sparkSession)
@@ -165,9 +232,13 @@ def _judged(packed: DataFrame, judge: Callable[[np.ndarray, np.ndarray, np.ndarr
         found = Found(buckets)
 
         def done(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-            h, d, p = (np.concatenate(c) for c in zip(*(unpack_postings(raw, width) for raw in held), strict=True))
-            keep = judge(h, d, p)
-            yield from found.add(d[keep], p[keep])
+            open_, known = split_decided(held)
+            for docs, values in known:
+                yield from found.add(docs, values[:, 0])
+            if open_:
+                h, d, p = (np.concatenate(c) for c in zip(*(unpack_postings(raw, width) for raw in open_), strict=True))
+                keep = judge(h, d, p)
+                yield from found.add(d[keep], p[keep])
 
         yield from each_bucket(batches, done)
         yield from found.out()

@@ -12,10 +12,12 @@ rolling window of that length of every document probes it:
 3. Removal: words in these repeats go.
 
 No pairs of documents are formed: each step keeps, for each hash, only the smallest id (and whether a larger
-one exists), so a passage in a third of all documents costs as much as its occurrences. Hashes of windows
+one exists). Tasks decide what they can among their own postings, so a passage in a third of all documents sends
+a bucket a few postings a task and not one for each document. Hashes of windows
 have 64 bits; anchors have fewer, which can only add work.
 
-Edge cases: null and empty texts have no words; exact copies keep the smallest id; rows that repeat an id are
+Edge cases: null and empty texts have no words; very long texts are worked on alone; an empty table gives an empty
+result; exact copies keep the smallest id; rows that repeat an id are
 one document and do not remove each other (if their texts differ, repeats found in one are cut at the same
 places in the other); rows without an id count as the largest id; other columns are ignored.
 """
@@ -30,38 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._flat import BLOCK, SPACED, blocks, flat, ranges, window_hashes, word_hashes, word_spans
-from ._postings import NO_ID, PACKED, PACKED_DDL, bucket_count, by_bucket, pack_postings, unpack_lists, with_lists
+from ._postings import NO_ID, PACKED_DDL, Gather, bucket_count, by_bucket, unpack_lists, with_lists
 from ._shared import small_batches
 
 WINDOW = 50
-#: Postings that are gathered before they are sent by bucket.
-GATHER = 2_000_000
-
-
-class _Gather:
-    """Collects postings of successive blocks of documents and packs them by bucket."""
-
-    def __init__(self, buckets: int, width: type):
-        self.buckets, self.width = buckets, width
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.places, self.ids, self.sizes, self.at, self.n = [], [], [], [], 0, 0
-
-    def add(self, hashes: np.ndarray, places: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.hashes.append(hashes)
-        self.places.append(places + self.at)
-        self.ids.append(ids)
-        self.sizes.append(sizes)
-        self.at += int(sizes.sum())
-        self.n += len(hashes)
-
-    def out(self) -> Iterator[pa.RecordBatch]:
-        if self.n:
-            rows = list(pack_postings(*(np.concatenate(x) for x in (self.hashes, self.places, self.ids, self.sizes)), self.buckets, self.width))
-            self.clear()
-            for i in range(0, len(rows), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[i : i + 64]], pa.int64()), pa.array([r for _, r in rows[i : i + 64]], pa.binary())], schema=PACKED)
 
 
 def _inside(offsets: np.ndarray, size: int) -> np.ndarray:
@@ -72,22 +46,27 @@ def _inside(offsets: np.ndarray, size: int) -> np.ndarray:
 
 def is_anchor(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, block: int) -> np.ndarray:
     """Mask of the postings of a hash that a block has in one document and a posting in one of a larger id."""
-    aligned = places % block == 0
-    own, doc = hashes[aligned], docs[aligned]
-    order = np.argsort(own)
-    own, doc = own[order], doc[order]
-    if not len(own):
-        return np.zeros(len(hashes), bool)
+    return anchored_here(hashes, docs, places, block)[0]
+
+
+def anchored_here(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors among these postings, postings that others need): of an anchor's hash the least block and the largest posting."""
+    if not len(hashes):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    order = np.lexsort((docs, hashes))
+    own, doc, aligned = hashes[order], docs[order], places[order] % block == 0
     heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    known, smallest = own[heads], np.minimum.reduceat(doc, heads)
-    at = np.searchsorted(known, hashes)
-    at[at == len(known)] = 0
-    found = np.flatnonzero(known[at] == hashes)
-    largest = smallest.copy()
-    np.maximum.at(largest, at[found], docs[found])
-    keep = np.zeros(len(hashes), bool)
-    keep[found] = (smallest < largest)[at[found]]
-    return keep
+    sizes = np.diff(np.append(heads, len(own)))
+    largest = doc[heads + sizes - 1]
+    first = np.minimum.reduceat(np.where(aligned, np.arange(len(own)), len(own)), heads)
+    found = first < len(own)
+    found[found] = doc[first[found]] < largest[found]
+    anchor, sent = np.empty(len(own), bool), np.empty(len(own), bool)
+    anchor[order] = np.repeat(found, sizes)
+    kept = np.repeat(~found, sizes)
+    kept[first[found]] = kept[(heads + sizes - 1)[found]] = True
+    sent[order] = kept
+    return anchor, sent
 
 
 def is_repeat(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -103,11 +82,17 @@ def is_repeat(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.nd
     return keep
 
 
+def repeated_here(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(repeats among these postings, postings that others need): the others are each hash's least document's."""
+    repeat = is_repeat(hashes, docs, places)
+    return repeat, ~repeat
+
+
 def probes(documents: DataFrame, block: int, buckets: int) -> DataFrame:
     """Packed postings of every rolling window of `block` words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(buckets, np.uint32)
+        gather = Gather(buckets, np.uint32, lambda h, d, p: anchored_here(h, d, p, block))
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             data, offsets = flat(batch.column("text"))
@@ -115,9 +100,7 @@ def probes(documents: DataFrame, block: int, buckets: int) -> DataFrame:
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, words_of = word_spans(part, own, SPACED)
                 at = _inside(words_of, block)
-                gather.add(window_hashes(word_hashes(part, starts, ends), block)[at] if len(at) else np.zeros(0, np.uint64), at, ids[a:b], np.diff(words_of))
-                if gather.n >= GATHER:
-                    yield from gather.out()
+                yield from gather.add(window_hashes(word_hashes(part, starts, ends), block)[at] if len(at) else np.zeros(0, np.uint64), at, ids[a:b], np.diff(words_of))
         yield from gather.out()
 
     return documents.mapInArrow(work, PACKED_DDL)
@@ -128,7 +111,7 @@ def candidates(anchored: DataFrame, window: int, buckets: int) -> DataFrame:
     block = window // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(buckets, np.uint64)
+        gather = Gather(buckets, np.uint64, repeated_here)
         for batch in batches:
             ids, lists = batch.column("doc_id").to_numpy(), batch.column("lists").to_pylist()
             data, offsets = flat(batch.column("text"))
@@ -146,9 +129,7 @@ def candidates(anchored: DataFrame, window: int, buckets: int) -> DataFrame:
                         np.add.at(wanted, low[go], 1)
                         np.add.at(wanted, high[go], -1)
                 at = np.flatnonzero(np.cumsum(wanted[:-1]))
-                gather.add(hashes[at], at, ids[a:b], np.diff(words_of))
-                if gather.n >= GATHER:
-                    yield from gather.out()
+                yield from gather.add(hashes[at], at, ids[a:b], np.diff(words_of))
         yield from gather.out()
 
     return anchored.where("lists is not null").mapInArrow(work, PACKED_DDL)

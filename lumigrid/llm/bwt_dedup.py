@@ -6,19 +6,24 @@ equal strings have equal minimizers, so
 1. minimizers are sent as postings, and those of one document only are dropped (they cannot repeat);
 2. around the others each document cuts segments: the stretches of consecutive windows that share a minimizer.
    Segments go to the bucket of their minimizer, so all places of a repeat meet in one bucket;
-3. in a bucket, equal segments are one text with its least document. A minimizer with one text is settled. The
-   texts of the others are dealt into shards, each shard's Burrows-Wheeler transform is built, and the
-   transforms are merged by interleave refinement (Holt and McMillan, 2014): the interleave, at first shard
-   after shard, is re-sorted stably by the symbols that it reads, once per symbol of depth. Places where
-   neighbours come to differ give the common prefixes; what is still together after `length` rounds is a
-   repeated interval. No suffix is sorted again. Its least document keeps the string, the others lose it;
+3. `settle` decides the segments of a bucket (those of frequent minimizers first among what a task has gathered).
+   Windows whose hash no other document has are left out. The rest is dealt into shards, each shard's
+   Burrows-Wheeler transform is built, and the transforms are merged by interleave refinement (Holt and McMillan,
+   2014): the interleave, at first shard after shard, is re-sorted stably by the symbols that it reads, once per
+   symbol of depth. Places where neighbours come to differ give the common prefixes; what is still together after
+   `length` rounds is a repeated interval. No suffix is sorted again. Its least document keeps the string, the
+   others lose it. Where the segments of one minimizer fill several merges, what these leave is merged again, in
+   larger and larger ones, until all of it was in one;
 4. documents drop the union of their repeated windows.
 
-Equal strings are compared as bytes; hashes only route them. Nothing is formed per pair of documents.
+So minimizers and hashes route and prune, and a merged transform decides each removal, on the bytes themselves.
+Nothing is formed per pair of documents, and of a string in a third of all documents a bucket gets at most `HOT`
+places for each `SEGMENTS` bytes that a task gathered: frequent ones are settled there first.
 
-Edge cases: null and empty texts have no bytes; exact copies keep the least id; rows that repeat an id are one
-document and do not remove each other (if their texts differ, repeats found in one are cut at the same places in
-the other); rows without an id count as the largest id; other columns are ignored.
+Edge cases: null and empty texts have no bytes; very long texts are worked on alone; an empty table gives an empty
+result; exact copies keep the least id; rows that repeat an id are one document and do not remove each other (if
+their texts differ, repeats found in one are cut at the same places in the other); rows without an id count as the
+largest id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._flat import BLOCK, U, blocks, flat, ranges, runs, window_hashes
-from ._postings import NO_ID, PACKED, PACKED_DDL, Found, bucket_count, by_bucket, by_document, dealt, each_bucket, unpack_lists, with_lists
+from ._postings import NO_ID, PACKED, PACKED_DDL, Found, Gather, bucket_count, by_bucket, by_document, dealt, decided, each_bucket, split_decided, unpack_lists, with_lists
 from ._shared import parts, small_batches
-from .anchors import GATHER, _Gather
 
 LENGTH, GRAM = 50, 24
-#: Bytes of segments that are gathered before they are sent, and of one shard.
-SEGMENTS, SHARD = 8_000_000, 15_000
+#: Bytes of segments that are gathered before they are sent, and of one shard; shards of a merge; windows pruned at once.
+SEGMENTS, SHARD, SHARDS, PRUNED = 8_000_000, 15_000, 4, 1_000_000
+#: Segments of one minimizer that a task sends of those it has gathered, about.
+HOT = 32
 
 
 def slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -83,11 +89,22 @@ def in_two(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarr
     return keep
 
 
+def in_two_here(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(postings whose hash several of these documents have, postings that others need): two documents' of such a hash."""
+    several = in_two(hashes, docs, places)
+    sent = ~several
+    at = np.flatnonzero(several)
+    order = at[np.lexsort((docs[at], hashes[at]))]
+    new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])[: len(order)]
+    sent[order[new]] = sent[order[np.append(new[1:], True)[: len(order)]]] = True
+    return several, sent
+
+
 def postings(documents: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     """Packed postings of the minimizers of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = _Gather(buckets, np.uint32)
+        gather = Gather(buckets, np.uint32, in_two_here)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             data, offsets = flat(batch.column("text"))
@@ -95,15 +112,13 @@ def postings(documents: DataFrame, length: int, gram: int, buckets: int) -> Data
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 hashes, least, inside = minimizers(part, own, length, gram)
                 at = chosen(hashes, least, inside, length - gram + 1)
-                gather.add(hashes[at], at, ids[a:b], np.diff(own))
-                if gather.n >= GATHER:
-                    yield from gather.out()
+                yield from gather.add(hashes[at], at, ids[a:b], np.diff(own))
         yield from gather.out()
 
     return documents.mapInArrow(work, PACKED_DDL)
 
 
-def _pack_segments(key: np.ndarray, doc: np.ndarray, place: np.ndarray, text: np.ndarray, size: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _pack_segments(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, text: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     bucket = (key % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     starts = np.cumsum(size) - size
@@ -123,8 +138,14 @@ def _unpack_segments(raw: bytes) -> tuple[np.ndarray, ...]:
     return body[: 8 * n].view(U), plane(8 * n, 8, np.int64), plane(16 * n, 4, np.uint32).astype(np.int64), plane(20 * n, 4, np.uint32).astype(np.int64), body[24 * n :]
 
 
-def segments(anchored: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """Packed segments around the minimizers that several documents have."""
+def _taken(columns: list[np.ndarray], mask: np.ndarray) -> list[np.ndarray]:
+    """The segments (key, document, place, size, text) of a mask."""
+    size = columns[3]
+    return [*(c[mask] for c in columns[:4]), columns[4][ranges((np.cumsum(size) - size)[mask], size[mask])]]
+
+
+def segments(anchored: DataFrame, length: int, gram: int, shard: int, buckets: int) -> DataFrame:
+    """Packed segments around the minimizers that several documents have, without the windows that a task decides itself."""
     width = length - gram + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +153,16 @@ def segments(anchored: DataFrame, length: int, gram: int, buckets: int) -> DataF
 
         def out() -> Iterator[pa.RecordBatch]:
             if held:
-                rows = list(_pack_segments(*(np.concatenate(c) for c in zip(*held, strict=True)), buckets))
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
                 held.clear()
+                # Frequent minimizers are settled here, so that their bucket gets what is left of them.
+                _, of_key, counts = np.unique(columns[0], return_inverse=True, return_counts=True)
+                hot = counts[of_key] > HOT
+                rows = list(_pack_segments(*_taken(columns, ~hot), buckets))
+                if hot.any():
+                    (doc, first, count), left = settle(*_taken(columns, hot), length, shard)
+                    yield from decided(doc, np.stack((first, count), axis=1), buckets)
+                    rows += _pack_segments(*left, buckets)
                 for i in range(0, len(rows), 64):
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + 64]], pa.int64()), pa.array([r for _, r in rows[i : i + 64]], pa.binary())], schema=PACKED)
 
@@ -165,7 +194,7 @@ def segments(anchored: DataFrame, length: int, gram: int, buckets: int) -> DataF
                 count = np.diff(np.append(heads, len(wanted_at)))
                 first, doc = wanted_at[heads], doc_of[heads]
                 size = count + length - 1
-                held.append((least[first], ids[a:b][doc], first - own[doc], part[ranges(first, size)], size))
+                held.append((least[first], ids[a:b][doc], first - own[doc], size, part[ranges(first, size)]))
                 size_held += int(size.sum())
                 if size_held >= SEGMENTS:
                     yield from out()
@@ -185,115 +214,190 @@ class Shard:
         whole = sizes + 1
         ends = np.cumsum(whole)
         firsts = ends - whole
-        symbols = np.zeros(int(ends[-1]), np.int64)
-        symbols[ranges(firsts, sizes)] = text.astype(np.int64) + 1
-        start, cycle = np.repeat(firsts, whole), np.repeat(whole, whole)
-        place = np.arange(len(symbols)) - start
-        rank, step, top = symbols, 1, 257
-        self.rows = None
-        while step < depth:
-            follow = rank[start + (place + step) % cycle]
-            key = rank * top + follow
-            self.rows = np.argsort(key)
-            ordered = key[self.rows]
-            rank = np.empty(len(key), np.int64)
-            rank[self.rows] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
-            step, top = 2 * step, len(key) + 1
         # UTF-8 has no byte 255, so byte + 1 and the end mark 0 fit.
-        self.symbols = symbols[start + (place - 1) % cycle][self.rows].astype(np.uint8)  #: the transform
-        self.step = np.empty(len(key), np.int64)  #: row of each row's suffix with its symbol before it
-        self.step[np.argsort(self.symbols, kind="stable")] = np.arange(len(key))
-        self.text_of = np.repeat(np.arange(len(sizes)), whole)[self.rows]
-        self.place = place[self.rows]
-
-
-def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+        symbols = np.zeros(int(ends[-1]), np.uint8)
+        symbols[ranges(firsts, sizes)] = text + np.uint8(1)
+        n = len(symbols)
+        follow = np.arange(1, n + 1)
+        follow[ends - 1] = firsts
+        # Eight symbols of each suffix are one number; from there on ranks double.
+        key, ahead = symbols.astype(U), follow
+        for bits in (8, 16, 32):
+            key = key << U(bits) | key[ahead]
+            ahead = ahead[ahead]
+        step = 8
+        while True:
+            rows = np.argsort(key)
+            if step >= depth:
+                break
+            ordered = key[rows]
+            rank = np.empty(n, U)
+            rank[rows] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
+            key = rank * U(n + 1) + rank[ahead]
+            ahead, step = ahead[ahead], 2 * step
+        before = np.arange(-1, n - 1)
+        before[firsts] = ends - 1
+        self.symbols = symbols[before][rows]  #: the transform
+        self.text_of = np.repeat(np.arange(len(sizes)), whole)[rows]
+        self.place = (np.arange(n) - np.repeat(firsts, whole))[rows]
+        self.row = np.empty(n, np.int64)  #: row of the suffix at each place of the texts end to end
+        self.row[rows] = np.arange(n)
+        #: Row of each row's suffix with its symbol before it; by the texts, as rows that agree in all symbols compared are in any order.
+        self.step = self.row[before[rows]]
+        self.text, self.ends, self.whole = symbols, ends, whole
+
+
+def merge(shards: list[Shard], depth: int, windows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(interleave, prefixes): the shards' row (end to end) at each merged row, and the rows' common prefix with the row before, up to depth.
 
-    Each round reads the interleave's symbols and re-sorts it stably by them: a row moves to that of its suffix with
-    the symbol before it, so the interleave is ordered by one more symbol. Rows part where their symbols differ
-    or where the suffixes behind the symbols had parted.
+    Of windows of an even depth only their rows are merged: given the rows behind their ends, the interleave follows
+    them through the transforms to their starts, and rows that no window passes are not touched. Their prefixes are
+    told as depth or 0: whether a window is of the interval of the one before.
+
+    Each round reads the interleave's symbols, two at a time, and re-sorts it stably by them: a row moves to that of
+    its suffix with the symbols before it, so the interleave is ordered by two more symbols. Rows part where their
+    symbols differ or where the suffixes behind the symbols had parted, and stay apart from then on.
     """
-    sizes = [len(s.symbols) for s in shards]
+    sizes = np.array([len(s.symbols) for s in shards])
+    base = np.cumsum(sizes) - sizes
     symbols = np.concatenate([s.symbols for s in shards])
-    step = np.concatenate([s.step + at for s, at in zip(shards, np.cumsum([0, *sizes[:-1]]), strict=True)]).astype(np.int32)
-    interleave = np.arange(len(symbols), dtype=np.int32)
-    group = np.zeros(len(symbols), np.int32)
-    prefixes = np.full(len(symbols), depth, np.int32)
-    prefixes[0] = 0
-    new = np.zeros(len(symbols), bool)
-    for d in range(depth):
-        read = symbols[interleave]
-        order = np.argsort(read, kind="stable")
-        interleave, group, read = step[interleave[order]], group[order], read[order]
-        new[1:] = (read[1:] != read[:-1]) | (group[1:] != group[:-1])
-        prefixes[new & (prefixes == depth)] = d
-        group = np.cumsum(new, dtype=np.int32)
-    return interleave, prefixes
-
-
-def judge(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, text: np.ndarray, length: int, shard: int = SHARD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document, first window, windows): the runs of windows that a smaller document has, of a bucket's segments."""
-    if not len(key):
-        return
-    # Equal segments are one text: by two 64-bit sums and their bytes.
-    starts = np.cumsum(size) - size
-    body = text.tobytes()
-    numbers: dict[bytes, int] = {}
-    same = np.fromiter((numbers.setdefault(body[s : s + n], len(numbers)) for s, n in zip(starts.tolist(), size.tolist(), strict=True)), np.int64, len(key))
-    least = np.full(len(numbers), np.iinfo(np.int64).max)
-    np.minimum.at(least, same, doc)
-    sample = np.empty(len(numbers), np.int64)
-    sample[same[::-1]] = np.arange(len(key))[::-1]
-    later = least[same] < doc
-    yield doc[later], place[later], (size - length + 1)[later]
-    # What is left is each text in its least document, if its minimizer has other texts.
-    text_key = key[sample]
-    _, of_key, texts = np.unique(text_key, return_inverse=True, return_counts=True)
-    open_ = np.flatnonzero(texts[of_key] > 1)
-    if not len(open_):
-        return
-    # Some minimizers at a time, whole ones.
-    open_ = open_[np.argsort(of_key[open_], kind="stable")]
-    sizes = size[sample[open_]]
-    limits = np.cumsum(sizes) // (4 * shard)
-    cuts = [0, *(np.flatnonzero((np.diff(limits) > 0) & (np.diff(of_key[open_]) > 0)) + 1).tolist(), len(open_)]
-    flagged: list[list[np.ndarray]] = [[], []]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        who = open_[a:b]
-        for t, p in _smaller(text, starts[sample[who]], size[sample[who]], least[who], length, shard):
-            flagged[0].append(who[t])
-            flagged[1].append(p)
-    if not flagged[0]:
-        return
-    t, p = (np.concatenate(x) for x in flagged)
-    # All copies of the text in its least document have the windows.
-    first = np.flatnonzero(~later)
-    first = first[np.argsort(same[first], kind="stable")]
-    low, high = np.searchsorted(same[first], t), np.searchsorted(same[first], t, "right")
-    seg = first[ranges(low, high - low)]
-    p = np.repeat(p, high - low)
-    yield doc[seg], place[seg] + p, np.ones(len(seg), np.int64)
-
-
-def _smaller(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int, shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    step = np.concatenate([s.step + at for s, at in zip(shards, base, strict=True)])
+    pairs, steps = symbols[step].astype(np.int64) << 8 | symbols, step[step]
+    low = pairs.astype(np.uint16)
+    interleave = np.arange(len(symbols)) if windows is None else np.sort(windows)
+    n, rounds = len(interleave), -(-depth // 2)
+    group = np.zeros(n, np.int64)
+    parted = np.zeros(n, np.uint8)  # rounds after which a row is parted from the one before
+    new = np.zeros(n, np.uint8)
+    new[:1] = 1
+    for _ in range(rounds):
+        order = np.argsort(low.take(interleave), kind="stable")
+        # Rows behind one another are told apart by their group and the symbols before it, as one number.
+        ranked = (group << 16 | pairs.take(interleave)).take(order)
+        interleave = steps.take(interleave.take(order))
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:].view(bool))
+        parted += new
+        np.cumsum(new, out=group)
+    if windows is not None:
+        return interleave, np.where(new == 1, 0, depth)
+    prefixes = 2 * (rounds - parted.astype(np.int64))
+    prefixes[:1] = 0
+    # Of the two symbols that parted rows, the first may be the same.
+    text = np.concatenate([s.text for s in shards])
+    cycle, place = (np.concatenate(x)[interleave] for x in ([s.whole[s.text_of] for s in shards], [s.place for s in shards]))
+    first = np.concatenate([(s.ends - s.whole)[s.text_of] + at for s, at in zip(shards, base, strict=True)])[interleave]
+    at = np.flatnonzero(prefixes[1:] < depth) + 1
+    behind = lambda row: text[first[row] + (place[row] + prefixes[at]) % cycle[row]]
+    prefixes[at] += behind(at) == behind(at - 1)
+    return interleave, np.minimum(prefixes, depth)
+
+
+def _several(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first window, windows) of the stretches whose windows' hashes several documents may have; the others have none.
+
+    Hashes that share a slot count as one, which leaves more windows, never fewer. Stretches that share bytes are one.
+    """
+    starts, windows = np.cumsum(sizes) - sizes, sizes - length + 1
+    at = ranges(starts, windows)
+    slots = 1 << max(10, int(4 * len(at)).bit_length())
+    slot = (window_hashes(text.astype(U) + U(1), length)[at] >> U(64 - (slots.bit_length() - 1))).astype(np.int64)
+    own = np.repeat(np.unique(doc, return_inverse=True)[1].astype(np.int32), windows)
+    holder = np.empty(slots, np.int32)
+    holder[slot] = own
+    shared = np.zeros(slots, bool)
+    shared[slot[holder[slot] != own]] = True
+    mask = np.zeros(len(text), bool)
+    mask[at] = shared[slot]
+    a, b = runs(mask)
+    if not len(a):
+        return a, a, a
+    segment = np.searchsorted(starts, a, "right") - 1
+    new = np.append(True, (a[1:] - b[:-1] >= length) | (segment[1:] != segment[:-1]))
+    heads = np.flatnonzero(new)
+    last = b[np.append(heads[1:], len(a)) - 1]
+    return segment[heads], a[heads] - starts[segment[heads]], last - a[heads]
+
+
+def settle(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, text: np.ndarray, length: int, shard: int = SHARD) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """((document, first window, windows), segments that are left): the runs of windows whose string a smaller document has among these segments."""
+    starts, windows = np.cumsum(size) - size, size - length + 1
+    gone = np.zeros(len(text), bool)  # by the first byte of each window
+    order = np.argsort(key, kind="stable")
+    total = np.cumsum(windows[order])
+    # Whole minimizers, about PRUNED windows at a time.
+    cuts = np.flatnonzero((np.diff(total // PRUNED) > 0) & (key[order[1:]] != key[order[:-1]])) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(order)], strict=True):
+        who = order[a:b]
+        if not len(who):
+            continue
+        own, first, count = _several(text[ranges(starts[who], size[who])], size[who], doc[who], length)
+        who = who[own]
+        most = SHARDS * shard
+        begin = starts[who] + first
+        while len(who):
+            begin, count, who = _merged(text, key, doc, begin, count, who, gone, length, shard, most)
+            most *= SHARDS
+    at = ranges(starts, windows)
+    inside = np.zeros(len(text), bool)
+    inside[at] = True
+
+    def cut(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = runs(mask)
+        return np.searchsorted(starts, a, "right") - 1, a, b - a
+
+    lost, from_, n = cut(gone)
+    kept, begin, m = cut(inside & ~gone)
+    width = m + length - 1
+    return (doc[lost], place[lost] + from_ - starts[lost], n), (key[kept], doc[kept], place[kept] + begin - starts[kept], width, text[ranges(begin, width)])
+
+
+def _merged(text: np.ndarray, key: np.ndarray, doc: np.ndarray, begin: np.ndarray, count: np.ndarray, who: np.ndarray, gone: np.ndarray, length: int, shard: int, most: int) -> tuple[np.ndarray, ...]:
+    """Mark in `gone` the windows (count from begin, of segments `who`, in order of keys) that merges of about `most` bytes decide; what is left to be merged again (begin, count, segment)."""
+    bytes_ = count + length - 1
+    own = key[who]
+    heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    of_key = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(own))))
+    large = np.add.reduceat(bytes_, heads) > most
+    limits = np.cumsum(bytes_) // most
+    new_key = of_key[1:] != of_key[:-1]
+    # A merge ends between minimizers; one that is larger than a merge is in merges of its own.
+    ends = np.where(large[of_key[1:]] | large[of_key[:-1]], new_key | (np.diff(limits) > 0), new_key & (np.diff(limits) > 0))
+    cuts = np.flatnonzero(ends) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(own)], strict=True):
+        if b - a > 1:
+            t, p = _smaller(text, begin[a:b], bytes_[a:b], doc[who[a:b]], length, shard)
+            gone[begin[a:b][t] + p] = True
+    again = large[of_key]
+    # The windows that are left of those that meet others once more.
+    index = ranges(begin[again], count[again])
+    stretch = np.repeat(np.flatnonzero(again), count[again])
+    index, stretch = index[~gone[index]], stretch[~gone[index]]
+    first = np.flatnonzero(np.append(True, (np.diff(index) != 1) | (np.diff(stretch) != 0))[: len(index)])
+    return index[first], np.diff(np.append(first, len(index))), who[stretch[first]]
+
+
+def _smaller(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, window) pairs whose string a text of a smaller document has, by merged transforms of shards."""
     edges = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(1, int(sizes.sum()) // shard + 1) * shard, "right"))
     edges = np.unique(np.concatenate(([0], edges, [len(sizes)])))
-    if len(edges) == 2 and len(sizes) > 1:
+    if len(edges) == 2:
         edges = np.array([0, len(sizes) // 2, len(sizes)])
     shards = [Shard(text[ranges(starts[a:b], sizes[a:b])], sizes[a:b], length) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    order_of, prefixes = merge(shards, length)
+    base = np.cumsum([0, *(len(s.symbols) for s in shards[:-1])])
+    # Windows of one text are neighbours; a row behind a window's end is known by its place.
+    behind = [s.row[ranges(s.ends - s.whole + length, s.whole - length)] + at for s, at in zip(shards, base, strict=True)]
+    order_of, prefixes = merge(shards, length, None if length % 2 else np.concatenate(behind))
     text_of = np.concatenate([s.text_of + a for s, a in zip(shards, edges[:-1], strict=True)])[order_of]
     place = np.concatenate([s.place for s in shards])[order_of]
     interval = np.cumsum(prefixes < length)
     window = np.flatnonzero(place + length <= sizes[text_of])
     interval, doc = interval[window], docs[text_of[window]]
-    if len(window):
-        heads = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
-        least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.append(heads, len(interval))))
-        gone = window[least < doc]
-        yield text_of[gone], place[gone]
+    if not len(window):
+        return window, window
+    heads = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
+    least = np.repeat(np.minimum.reduceat(doc, heads), np.diff(np.append(heads, len(interval))))
+    lost = window[least < doc]
+    return text_of[lost], place[lost]
 
 
 def repeats(packed: DataFrame, length: int, shard: int) -> DataFrame:
@@ -304,8 +408,11 @@ def repeats(packed: DataFrame, length: int, shard: int) -> DataFrame:
         found = Found(buckets)
 
         def done(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*(_unpack_segments(raw) for raw in held), strict=True)]
-            for doc, first, count in judge(*columns, length, shard):
+            open_, known = split_decided(held)
+            for doc, values in known:
+                yield from found.add(doc, values)
+            if open_:
+                (doc, first, count), _ = settle(*(np.concatenate(c) for c in zip(*map(_unpack_segments, open_), strict=True)), length, shard)
                 yield from found.add(doc, np.stack((first, count), axis=1))
 
         yield from each_bucket(batches, done)
@@ -321,7 +428,7 @@ def removal(documents: DataFrame, *, length: int = LENGTH, gram: int = GRAM, sha
     docs = documents.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(documents, spark)
     anchored = with_lists(docs, by_bucket(postings(docs, length, gram, buckets), in_two, np.uint32))
-    found = repeats(segments(anchored, length, gram, buckets), length, shard)
+    found = repeats(segments(anchored, length, gram, shard, buckets), length, shard)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("spans", pa.list_(span))] * keep_spans
 

@@ -229,23 +229,28 @@ def _each_block(batches: Iterator[pa.RecordBatch], done: Callable[[tuple, list[t
 
 
 def _plausible(members: DataFrame, percent: int) -> DataFrame:
-    """(key, doc_id) of the members (key, doc_id, component, bits) that have a likely partner of another component in their bucket."""
+    """(key, doc_id) of the members (key, doc_id, component, bits, bands) that have a likely partner of another component in their bucket.
+
+    A pair counts in the first band that both share, so that it is confirmed once.
+    """
     least = cutoff(percent)
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
 
     def done(block: tuple, held: list[tuple]) -> pa.RecordBatch:
         side, ids, component = (np.array([h[c] for h in held]) for c in (0, 1, 2))
         bits = np.frombuffer(b"".join(h[3] for h in held), U).reshape(len(held), -1)
+        bands = np.array([h[4] for h in held])
         left, right = _sides(*block[1:], side)
         likely = np.zeros(len(held), bool)
         for a in left:
             others = right[component[right] != component[a]]
             others = others[estimate(bits[a][None], bits[others]) >= least]
+            others = others[bands[a][(bands[others] == bands[a]).argmax(axis=1)] == block[0]]
             likely[others] = True
             likely[a] |= len(others) > 0
         return pa.RecordBatch.from_arrays([pa.array(np.full(likely.sum(), block[0])), pa.array(ids[likely])], schema=schema)
 
-    return _dealt(members, "bits").mapInArrow(lambda batches: _each_block(batches, done), "key bigint, doc_id bigint").distinct()
+    return _dealt(members, "bits", "bands").mapInArrow(lambda batches: _each_block(batches, done), "key bigint, doc_id bigint").distinct()
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
@@ -312,7 +317,7 @@ def groups(documents: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     labelled = table(labelled, "labelled")
     mixed = cut(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key"))
     open_ = table(labelled.join(mixed, "key"), "open")
-    likely = table(_plausible(open_.join(bits, "doc_id"), percent), "likely")
+    likely = table(_plausible(open_.join(classes.select("doc_id", "bits", "bands"), "doc_id"), percent), "likely")
     some = open_.join(likely, ["key", "doc_id"], "left_semi").join(bits, "doc_id").join(sets, "doc_id")
     more = table(_across(some, percent), "links")
     # Components of the first round are contracted: their links are one link of each member to its component.
