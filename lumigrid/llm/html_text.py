@@ -8,8 +8,16 @@ The field is trained on labelled pages: `labelled_pages` builds them from varied
 headers, footers, sidebars, notices, adverts, forms, reader comments) with invented words, so that no word of
 a page is a feature; own labelled pages can be given instead.
 
-Edge cases: null and empty pages have an empty text; unclosed and stray tags are read as browsers do in the
-usual cases; a page cut off in a tag loses that tag only; repeated rows get equal rows; other columns are kept.
+What an element's ancestors say is carried from tag to tag and summed once an element, so a page costs in
+proportion to its length, however deep its tags lie.
+
+Elements whose content a browser does not show as text (scripts, styles, templates, frames, fields of forms, and
+`noscript`, which is for browsers without scripts) have no blocks; all others have, and the field decides on them.
+
+Edge cases: null and empty pages have an empty text; very long and deeply nested pages are one row each; unclosed
+and stray tags are read as browsers do in the usual cases; a page cut off in a tag loses that tag only; of
+labellings of equal score (ties) other text is preferred; repeated rows get equal rows; an empty table gives an
+empty result; the columns named in `keep` are kept, with null ids, and other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from ._shared import small_batches
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!?])[^>]*\Z|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 #: Elements by their role in the HTML standard.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "canvas", "object", "select"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "select"}
 #: Those whose content is text up to their end tag, whatever it holds.
 UNPARSED = {"script", "style", "noscript", "textarea", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -39,26 +47,83 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES_P = {"p", "div", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "aside", "nav", "header", "footer", "form", "blockquote", "pre", "main", "figure", "fieldset", "hr", "address"}
 ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
 SPACE = re.compile(r"\s+")
+HIDDEN = re.compile(r"\bhidden\b|display:\s*none", re.I)
+WORD = re.compile(r"[a-z]+")
+#: Attribute of the main elements of labelled pages; no feature.
+MARK = "data-main"
 MAIN, OTHER = 1, 0
 
 
+@dataclass(slots=True, eq=False)
+class Node:
+    """An element that blocks lie in: its tag, and the features that it adds to those of its ancestors."""
+
+    parent: Node | None
+    tag: str
+    fresh: tuple[str, ...]
+    in_article: bool
+    marked: bool  #: has the attribute of labelled pages
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the (tag, class words) of its ancestors from the root on, and its link text."""
+    """A leaf block: its text, the element that it lies in, and its link text."""
 
     text: str
-    path: tuple[tuple[str, str], ...]
+    node: Node | None
     linked: int
 
 
-@lru_cache(4096)
 def _classes(attributes: str) -> str:
-    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
+    found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     words = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-    hidden = " hidden" * bool(re.search(r"\bhidden\b|display:\s*none", attributes, re.I))
+    hidden = " hidden" * bool(HIDDEN.search(attributes))
     return (words + hidden).lower().strip()
 
 
+class _Stack:
+    """The open elements, with the places of each tag and the features that are in force."""
+
+    def __init__(self):
+        self.open: list[tuple[str, Node | None, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  #: places of the elements that are not inline
+        self.force: dict[str, int] = {}
+        self.links = 0
+
+    def node(self) -> Node | None:
+        return self.open[-1][1] if self.open else None
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, attributes: str) -> None:
+        parent, own = self.node(), ()
+        node = parent
+        if tag not in INLINE or tag == "label":
+            own = tuple(dict.fromkeys([f"in={tag}", *(f"class={w}" for w in WORD.findall(_classes(attributes)))]))
+            fresh = tuple(f for f in own if not self.force.get(f))
+            for f in own:
+                self.force[f] = self.force.get(f, 0) + 1
+            node = Node(parent, tag, fresh, tag in ("article", "main") or (parent is not None and parent.in_article), MARK in attributes)
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, node, own))
+        self.links += tag == "a"
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all within it; none for a negative place."""
+        while 0 <= place < len(self.open):
+            tag, _, own = self.open.pop()
+            self.places[tag].pop()
+            for f in own:
+                self.force[f] -= 1
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
+            self.links -= tag == "a"
+
+
 @lru_cache(64)
 def _raw_marks(name: str) -> re.Pattern:
     return re.compile(rf"</{name}(?=[\s/>])" + rf"|<!--|-->|<{name}(?=[\s/>])" * (name == "script"), re.I)
@@ -91,9 +156,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
     page = page or ""
     at = 0
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = _Stack()
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
     skip = None
 
     def flush() -> None:
@@ -101,7 +166,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] not in INLINE or x[0] == "label"), min(linked, len(text))))
+                out.append(Block(text, stack.node(), min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -110,7 +175,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name is None:
             if not skip and not (whole[0] == "<" and len(whole) > 1):
                 parts.append(whole)
-                linked += len(whole) * (links > 0)
+                linked += len(whole) * (stack.links > 0)
             continue
         name = name.lower()
         if name in UNPARSED and not m[1] and not m[3].endswith("/"):
@@ -125,69 +190,54 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name not in INLINE:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
-                    break
+            stack.close(stack.last(name))
             continue
         if name in RAW:
             if not m[3].endswith("/"):
                 flush()
                 skip = name
             continue
+        if name in CLOSES_P and stack.blocks and stack.open[stack.blocks[-1]][0] == "p":
+            # An open inline element goes on in the next paragraph; here it needs no place.
+            stack.close(stack.blocks[-1])
         if name in VOID:
             continue
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    # An open inline element goes on in the next paragraph; here it needs no place.
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
         if name in ENDS:
             closing, within = ENDS[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in within:
-                    break
-                if stack[i][0] in closing.split():
-                    links -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
-                    break
-        stack.append((name, _classes(m[3])))
-        links += name == "a"
+            place = stack.last(*closing.split())
+            # The outermost of those that end together, as a cell ends before its row.
+            if place > (limit := stack.last(*within)):
+                stack.close(min(p for t in closing.split() if stack.places.get(t) and (p := stack.places[t][-1]) > limit))
+        stack.push(name, m[3])
     flush()
     return out
 
 
-WORD = re.compile(r"[a-z]+")
+SIGNS = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|sign in|log in|share|privacy|advert|sponsored|newsletter|related|comment|repl(?:y|ies)|read more|tags?:|posted by", re.I)
 
 
-@lru_cache(1 << 16)
-def _path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
-    """Features of a block's ancestors: which tags it lies in, class words near and far, its own tag."""
-    out = []
-    for depth, (tag, words) in enumerate(reversed(path)):
-        out.append(f"in={tag}")
-        if depth < 2:
-            out.append(f"up{depth}={tag}")
-        for w in WORD.findall(words):
-            out.append(f"class={w}")
-    if not any(t in ("article", "main") for t, _ in path):
-        out.append("no article")
-    return tuple(dict.fromkeys(out))
+def features(block: Block, number: int, count: int) -> list[str]:
+    """Feature names of a block, without its words."""
+    return [*_path_features(block.node), *_own_features(block, number, count)]
 
 
-SIGNS = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|subscribe|sign in|log in|share|privacy|advert|sponsored|newsletter|related|comment|repl(?:y|ies)|read more|tags?:|posted by", re.I)
+def _path_features(node: Node | None) -> list[str]:
+    """Features of a block's ancestors: which tags it lies in, and their class words."""
+    out: list[str] = []
+    while node is not None:
+        out += node.fresh
+        node = node.parent
+    return out
 
 
-def features(block: Block, number: int, count: int) -> list[str]:
-    """Feature names of a block, without its words."""
-    text = block.text
+def _own_features(block: Block, number: int, count: int) -> list[str]:
+    """The other features: tags near by, whether it lies in an article, and what its text is like."""
+    text, node = block.text, block.node
     words = text.count(" ") + 1
-    out = [*_path_features(block.path), f"words={min(7, int(math.log2(words)))}", f"links={min(4, int(4 * block.linked / len(text)))}", f"stop={text[-1] in '.!?…'}", f"marks={min(3, text.count(',') + text.count('.'))}"]
+    out = [f"up{depth}={n.tag}" for depth, n in enumerate((node, node and node.parent)) if n is not None]
+    if node is None or not node.in_article:
+        out.append("no article")
+    out += [f"words={min(7, int(math.log2(words)))}", f"links={min(4, int(4 * block.linked / len(text)))}", f"stop={text[-1] in '.!?…'}", f"marks={min(3, text.count(',') + text.count('.'))}"]
     # Each sign once, so that a long text does not gather many.
     out += [f"sign={m}" for m in dict.fromkeys(m.lower() for m in SIGNS.findall(text))]
     if number == 0:
@@ -205,14 +255,30 @@ class Field:
     weights: dict[str, tuple[float, float]]
     transition: list[list[float]]
 
+    def _of_node(self, node: Node | None, sums: dict[int, tuple[float, float]]) -> tuple[float, float]:
+        """Weights of an element and its ancestors; `sums` has those of the elements seen."""
+        chain = []
+        while node is not None and id(node) not in sums:
+            chain.append(node)
+            node = node.parent
+        e0, e1 = (0.0, 0.0) if node is None else sums[id(node)]
+        for n in reversed(chain):
+            for name in n.fresh:
+                if w := self.weights.get(name):
+                    e0 += w[0]
+                    e1 += w[1]
+            sums[id(n)] = e0, e1
+        return e0, e1
+
     def labels(self, blocks: list[Block]) -> list[int]:
         """The best labelling, by Viterbi."""
         back: list[tuple[int, int]] = []
         score = (0.0, 0.0)
         (oo, om), (mo, mm) = self.transition
+        sums: dict[int, tuple[float, float]] = {}
         for k, block in enumerate(blocks):
-            e0 = e1 = 0.0
-            for name in features(block, k, len(blocks)):
+            e0, e1 = self._of_node(block.node, sums)
+            for name in _own_features(block, k, len(blocks)):
                 if w := self.weights.get(name):
                     e0 += w[0]
                     e1 += w[1]
@@ -322,15 +388,15 @@ def labelled_pages(count: int = 500, seed: int = 11) -> list[tuple[list[Block],
 
 
 def _marked(page: str) -> tuple[list[Block], list[int]]:
-    """Blocks and labels of a page whose main elements carry data-main."""
-    marked = re.sub(r"<(\w+)([^>]*?) data-main>", lambda m: f'<{m[1]}{m[2]} role="datamainmark">', page)
-    blocks, labels = [], []
-    for b in leaf_blocks(marked):
-        at = [i for i, (_, words) in enumerate(b.path) if "datamainmark" in words]
+    """Blocks and labels of a page whose main elements carry the mark."""
+    blocks = leaf_blocks(page)
+    labels = []
+    for b in blocks:
         # Boilerplate that an unclosed main element holds is still boilerplate.
-        tail = b.path[at[-1] + 1 :] if at else ()
-        labels.append(MAIN if at and all(t in INLINE or t in ("p", "label") for t, _ in tail) else OTHER)
-        blocks.append(Block(b.text, tuple((t, w.replace("datamainmark", "").strip()) for t, w in b.path), b.linked))
+        node = b.node
+        while node is not None and not node.marked and node.tag in ("p", "label"):
+            node = node.parent
+        labels.append(MAIN if node is not None and node.marked else OTHER)
     return blocks, labels
 
 
