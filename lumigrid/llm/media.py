@@ -4,11 +4,13 @@ Magic bytes of all known formats are found in one pass over a blob. A find count
 validator confirms its structure and yields its length within the blob, so two-letter magics in text do not.
 The type found at the start corrects a declared type; media found further in are carved, the outermost first.
 
-`store` writes texts as lossless 8-bit media (the format follows from the content), `read_back` decodes them by
-what was sniffed, whatever was declared.
+`stored` writes texts as lossless 8-bit media (the format follows from the content), `sniffed` decodes them by
+what was found, whatever was declared, and `carved` cuts all confirmed media out of blobs.
 
-Edge cases: null and empty texts are stored as one padded unit; null and empty blobs have no media; truncated
-media are not confirmed; equal texts give equal values; other columns are ignored.
+Edge cases: null and empty texts are stored as one padded unit; very long ones are one medium each; null and empty
+blobs have no media; truncated media are not confirmed; of media that begin at one place (ties) the one whose magic
+ends first counts; equal texts and repeated rows give equal values; null ids stay null; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,35 +110,116 @@ def _gif(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _jpeg(b: bytes, at: int) -> tuple[str, int] | None:
-    place = at + 2
+    place, frames, scans = at + 2, 0, 0
     while place + 4 <= len(b) and b[place] == 0xFF:
         mark = b[place + 1]
+        if mark == 0xFF:  # a fill byte
+            place += 1
+            continue
         length = struct.unpack_from(">H", b, place + 2)[0]
-        if length < 2 or place + 2 + length > len(b):
+        if mark < 0xC0 or 0xD0 <= mark <= 0xD8 or length < 2 or place + 2 + length > len(b):
             return None
+        frames += 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         place += 2 + length
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", place)
-            return ("jpeg", end + 2 - at) if end >= 0 else None
+            scans += 1
+            # Coded data: a 0xFF in it is followed by 0 or a restart mark.
+            place = b.find(b"\xff", place)
+            while 0 <= place < len(b) - 1 and (b[place + 1] == 0 or 0xD0 <= b[place + 1] <= 0xD7):
+                place = b.find(b"\xff", place + 2)
+            if place < 0 or place >= len(b) - 1:
+                return None
+        if b[place : place + 2] == b"\xff\xd9":
+            return ("jpeg", place + 2 - at) if frames and scans else None
     return None
 
 
+def _crc_table(width: int, polynomial: int) -> list[int]:
+    out = []
+    for byte in range(256):
+        value = byte << (width - 8)
+        for _ in range(8):
+            value = (value << 1 ^ polynomial * (value >> (width - 1))) & ((1 << width) - 1)
+        out.append(value)
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(8, 0x07), _crc_table(16, 0x8005)
+
+
+def _flac_header(b: bytes, at: int) -> tuple[int, int] | None:
+    """(length, samples) of the frame header at a place, if its checksum holds; samples 0 if only STREAMINFO has them."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or not b[at + 2] >> 4 or b[at + 2] & 15 == 15 or b[at + 3] & 1:
+        return None
+    first, size, rate = b[at + 4], b[at + 2] >> 4, b[at + 2] & 15
+    ones = 8 - (first ^ 0xFF).bit_length()  # bytes of the frame's number, as UTF-8 counts them
+    if ones == 1 or ones > 7:
+        return None
+    end = at + 4 + max(1, ones)
+    wide, coded = {6: 1, 7: 2}.get(size, 0), {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if end + wide + coded + 1 > len(b):
+        return None
+    samples = 192 if size == 1 else 576 << (size - 2) if size < 6 else int.from_bytes(b[end : end + wide], "big") + 1 if size < 8 else 256 << (size - 8)
+    check = 0
+    for x in b[at : end + wide + coded]:
+        check = _CRC8[check ^ x]
+    return (end + wide + coded + 1 - at, samples) if check == b[end + wide + coded] else None
+
+
 def _flac(b: bytes, at: int) -> tuple[str, int] | None:
-    place = at + 4
+    place, last = at + 4, False
     if place + 38 > len(b) or b[place] & 0x7F or int.from_bytes(b[place + 1 : place + 4], "big") != 34:
         return None
-    return "flac", len(b) - at
+    info = b[place + 4 : place + 38]
+    least, total = int.from_bytes(info[4:7], "big"), int.from_bytes(info[13:18], "big") & ((1 << 36) - 1)
+    while not last:
+        if place + 4 > len(b) or b[place] & 0x7F == 127:
+            return None
+        last = b[place] >> 7
+        place += 4 + int.from_bytes(b[place + 1 : place + 4], "big")
+    samples = 0
+    while samples < total or not total:
+        head = _flac_header(b, place)
+        if not head:
+            break
+        samples += head[1]
+        done = bool(total) and samples >= total
+        # A frame ends where its checksum comes out, before another frame or at the last sample.
+        check, end, floor = 0, place, place + max(head[0] + 2, least)
+        while end < len(b):
+            check = (check << 8 & 0xFFFF) ^ _CRC16[check >> 8 ^ b[end]]
+            end += 1
+            if not check and end >= floor and (done or _flac_header(b, end) or (not total and end == len(b))):
+                break
+        else:
+            return None
+        place = end
+    return ("flac", place - at) if samples >= max(total, 1) else None
+
+
+_MIRROR = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
 
 
 def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
-    place, pages = at, 0
+    place, streams = at, set()
     while b[place : place + 5] == b"OggS\x00" and place + 27 <= len(b):
-        n = b[place + 26]
+        n, flags, serial = b[place + 26], b[place + 5], b[place + 14 : place + 18]
         end = place + 27 + n + sum(b[place + 27 : place + 27 + n])
-        if end > len(b):
+        if end > len(b) or (place == at) and not flags & 2:
             return None
-        place, pages = end, pages + 1
-    return ("ogg", place - at) if pages else None
+        # The page's checksum is that of zlib with the bits of each byte mirrored, from 0 and without a last inversion.
+        page = b[place : place + 22] + bytes(4) + b[place + 26 : end]
+        mirrored = zlib.crc32(page.translate(_MIRROR), 0xFFFFFFFF) ^ 0xFFFFFFFF
+        if int(f"{mirrored:032b}"[::-1], 2) != int.from_bytes(b[place + 22 : place + 26], "little"):
+            return None
+        if flags & 2:
+            streams.add(serial)
+        if flags & 4:
+            streams.discard(serial)
+        place = end
+        if not streams:
+            return "ogg", place - at
+    return None
 
 
 def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
@@ -152,8 +235,13 @@ def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
 def _aiff(b: bytes, at: int) -> tuple[str, int] | None:
     if at + 12 > len(b) or b[at + 8 : at + 12] not in (b"AIFF", b"AIFC"):
         return None
-    size = struct.unpack_from(">I", b, at + 4)[0]
-    return ("aiff", 8 + size) if size >= 4 and at + 8 + size <= len(b) else None
+    end = at + 8 + struct.unpack_from(">I", b, at + 4)[0]
+    place, seen = at + 12, set()
+    while place + 8 <= min(end, len(b)):
+        name, length = struct.unpack_from(">4sI", b, place)
+        seen.add(name)
+        place += 8 + length + length % 2
+    return ("aiff", end - at) if end <= len(b) and place in (end, end + 1) and {b"COMM", b"SSND"} <= seen else None
 
 
 def _pgm(b: bytes, at: int) -> tuple[str, int] | None:
