@@ -12,7 +12,8 @@
 4. A message replies to the latest original among its first-level passages, else to nothing. Threads are
    resolved by pointer doubling, in as many rounds as the logarithm of the longest reply chain.
 
-Edge cases: null and empty texts are empty messages; rows that repeat a whole message count once; other messages
+Edge cases: null and empty texts are empty messages; a very long message is so many lines; of several originals
+(ties) the latest turn is taken; an empty table gives an empty result; rows that repeat a whole message count once; other messages
 of the same conversation and turn stay side by side; null conversations or turns are kept and link to nothing;
 quotes that no earlier message says link to nothing; other columns are ignored.
 """
@@ -112,23 +113,25 @@ def originals(quoted: DataFrame, said: DataFrame) -> DataFrame:
 
 
 def threads(parents: DataFrame) -> DataFrame:
-    """(conv_id, turn, root, depth, path) of (conv_id, turn, parent), by pointer doubling.
+    """(conv_id, turn, root, depth) of (conv_id, turn, parent), by pointer doubling.
 
-    path has the turns from the root on, so that its order is the reply order.
+    A parent is an earlier turn, so the order of turns within a root is a reply order.
     """
-    own = F.lpad(F.col("turn").cast("string"), 12, "0")
-    now = cut(parents.select("conv_id", "turn", F.col("parent").alias("up"), own.alias("path"), F.lit(0).alias("depth"), F.col("turn").alias("root")))
+    now = cut(parents.select("conv_id", "turn", F.col("parent").alias("up"), F.lit(0).alias("depth"), F.col("turn").alias("root")))
     while now.where("up is not null").limit(1).count():
-        above = now.select(F.col("conv_id").alias("conv2"), F.col("turn").alias("turn2"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
+        above = now.select(F.col("conv_id").alias("conv2"), F.col("turn").alias("turn2"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
         step = now.where("up is not null").join(above, F.expr("conv_id = conv2 and up = turn2"), "left").select(
-            "conv_id", "turn", F.col("up2").alias("up"), F.concat_ws("/", "path2", "path").alias("path"), (F.col("depth") + 1 + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root")
+            "conv_id", "turn", F.col("up2").alias("up"), (F.col("depth") + 1 + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root")
         )
         now = cut(now.where("up is null").unionByName(step))
     return now.drop("up")
 
 
 def reply_ordered(conversations: DataFrame) -> DataFrame:
-    """One row per message, without quotes: conv_id, turn, role, text, quote_depth, n_passages, n_linked, reply_to, root, reply_depth, path."""
+    """One row per message, without quotes: conv_id, turn, role, text, quote_depth, n_passages, n_linked, reply_to, root, reply_depth.
+
+    Messages in the order of (conv_id, root, turn) are threads in which each reply follows what it replies to.
+    """
     typed = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
     messages = table(typed.withColumn("key", F.monotonically_increasing_id()), "messages")
     quoting = messages.where(F.col("text").contains(">"))
@@ -151,5 +154,5 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     needed = replying.unionByName(replying.select("conv_id", F.col("parent").alias("turn"), F.lit(None).cast("bigint").alias("parent"))).groupBy("conv_id", "turn").agg(F.max("parent").alias("parent"))
     placed = threads(needed)
     return described.join(placed, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", "text", "quote_depth", "n_passages", "n_linked", "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("reply_depth"), F.coalesce("path", F.lpad(F.col("turn").cast("string"), 12, "0")).alias("path")
+        "conv_id", "turn", "role", "text", "quote_depth", "n_passages", "n_linked", "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("reply_depth")
     )
