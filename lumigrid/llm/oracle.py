@@ -24,6 +24,17 @@ each AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM w),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, (SELECT count(*) FROM gone g WHERE g.doc_id = w.doc_id) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
+#: Bytes as two hexadecimal digits each.
+BWT_MERGE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS i, h FROM d),
+win AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS g FROM p WHERE 2 * i + 100 <= len(h)),
+f AS (SELECT g, min(doc_id) AS m FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM win JOIN f USING (g) WHERE m < doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (first) AS n_spans FROM (SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) <> i - 1, true) AS first FROM gone) GROUP BY 1),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i) AS kept FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
 SUFFIX_ARRAYS = rf"""
 WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS item_id, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
 k AS (SELECT item_id, w, least(len(w), 8) AS k FROM b WHERE len(w) > 0),
@@ -80,5 +91,5 @@ rp AS (SELECT key, max(depth) AS quote_depth, count(*) AS n_passages, count(orig
 cl AS (SELECT key, trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '\n{3,}', chr(10) || chr(10), 'g'), ' ') AS clean FROM rn WHERE depth = 0 AND NOT ann GROUP BY 1),
 ds AS (SELECT conv_id, turn, role, CASE WHEN contains(text, '>') THEN coalesce(clean, '') ELSE coalesce(text, '') END AS text, coalesce(quote_depth, 0)::INT AS quote_depth, coalesce(n_passages, 0) AS n_passages, coalesce(n_linked, 0) AS n_linked, reply_to FROM keyed LEFT JOIN rp USING (key) LEFT JOIN cl USING (key)),
 pt AS (SELECT conv_id, turn, max(reply_to) AS parent FROM ds GROUP BY 1, 2),
-th(conv_id, turn, root, reply_depth, path) AS (SELECT conv_id, turn, turn, 0, lpad(turn::VARCHAR, 12, '0') FROM pt WHERE parent IS NULL UNION ALL SELECT p.conv_id, p.turn, th.root, th.reply_depth + 1, th.path || '/' || lpad(p.turn::VARCHAR, 12, '0') FROM pt p JOIN th ON th.conv_id = p.conv_id AND th.turn = p.parent)
-SELECT ds.*, root, reply_depth, path FROM ds LEFT JOIN th USING (conv_id, turn)"""
+th(conv_id, turn, root, reply_depth) AS (SELECT conv_id, turn, turn, 0 FROM pt WHERE parent IS NULL UNION ALL SELECT p.conv_id, p.turn, th.root, th.reply_depth + 1 FROM pt p JOIN th ON th.conv_id = p.conv_id AND th.turn = p.parent)
+SELECT ds.*, root, reply_depth FROM ds LEFT JOIN th USING (conv_id, turn)"""

@@ -69,5 +69,6 @@ ORACLE: dict[str, str] = {
     "op3_bbit_minhash": oracle.BBIT_MINHASH,
     "op4_block_anchors": oracle.BLOCK_ANCHORS,
     "op6_suffix_arrays": oracle.SUFFIX_ARRAYS,
+    "op8_bwt_merge": oracle.BWT_MERGE,
     "op10_credential_links": oracle.credential_links(),
 }
