@@ -39,9 +39,9 @@ from ._flat import BLOCK, U, blocks, flat, ranges, runs, window_hashes
 from ._postings import NO_ID, PACKED, PACKED_DDL, Found, Gather, bucket_count, by_bucket, by_document, dealt, decided, each_bucket, split_decided, unpack_lists, with_lists
 from ._shared import parts, small_batches
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 16
 #: Bytes of segments that are gathered before they are sent, and of one shard; shards of a merge; windows pruned at once.
-SEGMENTS, SHARD, SHARDS, PRUNED = 8_000_000, 15_000, 4, 1_000_000
+SEGMENTS, SHARD, SHARDS, PRUNED = 8_000_000, 15_000, 4, 100_000
 #: Segments of one minimizer that a task sends of those it has gathered, about.
 HOT = 32
 
@@ -141,7 +141,7 @@ def _unpack_segments(raw: bytes) -> tuple[np.ndarray, ...]:
 def _taken(columns: list[np.ndarray], mask: np.ndarray) -> list[np.ndarray]:
     """The segments (key, document, place, size, text) of a mask."""
     size = columns[3]
-    return [*(c[mask] for c in columns[:4]), columns[4][ranges((np.cumsum(size) - size)[mask], size[mask])]]
+    return [*(c[mask] for c in columns[:4]), columns[4][np.repeat(mask, size)]]
 
 
 def segments(anchored: DataFrame, length: int, gram: int, shard: int, buckets: int) -> DataFrame:
@@ -220,12 +220,12 @@ class Shard:
         n = len(symbols)
         follow = np.arange(1, n + 1)
         follow[ends - 1] = firsts
-        # Eight symbols of each suffix are one number; from there on ranks double.
+        # Eight symbols of each suffix are one number; from there on as many ranks as fit are.
         key, ahead = symbols.astype(U), follow
         for bits in (8, 16, 32):
             key = key << U(bits) | key[ahead]
             ahead = ahead[ahead]
-        step = 8
+        width, step = n.bit_length(), 8
         while True:
             rows = np.argsort(key)
             if step >= depth:
@@ -233,8 +233,11 @@ class Shard:
             ordered = key[rows]
             rank = np.empty(n, U)
             rank[rows] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1]))
-            key = rank * U(n + 1) + rank[ahead]
-            ahead, step = ahead[ahead], 2 * step
+            key, behind = rank, ahead
+            for _ in range(64 // width - 1):
+                key = key << U(width) | rank[behind]
+                behind = ahead[behind]
+            ahead, step = behind, step * (64 // width)
         before = np.arange(-1, n - 1)
         before[firsts] = ends - 1
         self.symbols = symbols[before][rows]  #: the transform
@@ -299,7 +302,7 @@ def _several(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int)
     """
     starts, windows = np.cumsum(sizes) - sizes, sizes - length + 1
     at = ranges(starts, windows)
-    slots = 1 << max(10, int(4 * len(at)).bit_length())
+    slots = 1 << max(10, int(8 * len(at)).bit_length())
     slot = (window_hashes(text.astype(U) + U(1), length)[at] >> U(64 - (slots.bit_length() - 1))).astype(np.int64)
     own = np.repeat(np.unique(doc, return_inverse=True)[1].astype(np.int32), windows)
     holder = np.empty(slots, np.int32)
@@ -318,8 +321,8 @@ def _several(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int)
     return segment[heads], a[heads] - starts[segment[heads]], last - a[heads]
 
 
-def settle(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, text: np.ndarray, length: int, shard: int = SHARD) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """((document, first window, windows), segments that are left): the runs of windows whose string a smaller document has among these segments."""
+def settle(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, text: np.ndarray, length: int, shard: int = SHARD, keep: bool = True) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """((document, first window, windows), segments that are left if they are kept): the runs of windows whose string a smaller document has among these segments."""
     starts, windows = np.cumsum(size) - size, size - length + 1
     gone = np.zeros(len(text), bool)  # by the first byte of each window
     order = np.argsort(key, kind="stable")
@@ -337,18 +340,20 @@ def settle(key: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray
         while len(who):
             begin, count, who = _merged(text, key, doc, begin, count, who, gone, length, shard, most)
             most *= SHARDS
-    at = ranges(starts, windows)
-    inside = np.zeros(len(text), bool)
-    inside[at] = True
 
     def cut(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = runs(mask)
         return np.searchsorted(starts, a, "right") - 1, a, b - a
 
     lost, from_, n = cut(gone)
+    lost = doc[lost], place[lost] + from_ - starts[lost], n
+    if not keep:
+        return lost, ()
+    inside = np.zeros(len(text), bool)
+    inside[ranges(starts, windows)] = True
     kept, begin, m = cut(inside & ~gone)
     width = m + length - 1
-    return (doc[lost], place[lost] + from_ - starts[lost], n), (key[kept], doc[kept], place[kept] + begin - starts[kept], width, text[ranges(begin, width)])
+    return lost, (key[kept], doc[kept], place[kept] + begin - starts[kept], width, text[ranges(begin, width)])
 
 
 def _merged(text: np.ndarray, key: np.ndarray, doc: np.ndarray, begin: np.ndarray, count: np.ndarray, who: np.ndarray, gone: np.ndarray, length: int, shard: int, most: int) -> tuple[np.ndarray, ...]:
@@ -412,7 +417,7 @@ def repeats(packed: DataFrame, length: int, shard: int) -> DataFrame:
             for doc, values in known:
                 yield from found.add(doc, values)
             if open_:
-                (doc, first, count), _ = settle(*(np.concatenate(c) for c in zip(*map(_unpack_segments, open_), strict=True)), length, shard)
+                (doc, first, count), _ = settle(*(np.concatenate(c) for c in zip(*map(_unpack_segments, open_), strict=True)), length, shard, False)
                 yield from found.add(doc, np.stack((first, count), axis=1))
 
         yield from each_bucket(batches, done)
