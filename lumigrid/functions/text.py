@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-#: Domain acronyms that the generic-word filter keeps, and the stop words used here.
-ACRONYMS = ("ai", "ml", "nlp", "llm", "iot", "gpu", "cpu", "api", "sql", "dna", "rna")
-STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "his", "how", "i", "if", "in", "into", "is", "it", "its",
-    "of", "on", "or", "our", "she", "so", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "you", "your",
+#: Bytes of a scan partition.
+SCAN_BYTES = 128 << 20
+#: Domain acronyms that the generic-word filter keeps.
+ACRONYMS = ("ai", "ml", "nlp", "iot", "api", "p2p", "qa", "ui", "db", "id", "os")
+#: The English stop words of NLTK.
+ENGLISH = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're", "you've", "you'll", "you'd", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "she's", "her", "hers", "herself",
+    "it", "it's", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "that'll", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into",
+    "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how",
+    "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "don't", "should",
+    "should've", "now", "d", "ll", "m", "o", "re", "ve", "y", "ain", "aren", "aren't", "couldn", "couldn't", "didn", "didn't", "doesn", "doesn't", "hadn", "hadn't", "hasn", "hasn't", "haven", "haven't", "isn", "isn't",
+    "ma", "mightn", "mightn't", "mustn", "mustn't", "needn", "needn't", "shan", "shan't", "shouldn", "shouldn't", "wasn", "wasn't", "weren", "weren't", "won", "won't", "wouldn", "wouldn't",
 )
-#: Cues of negation, in order of preference.
-NEGATION_CUES = ("does not", "do not", "did not", "is not", "are not", "was not", "were not", "cannot", "without", "except", "excluding", "never", "not", "no")
+#: Words that are no stop words, and further stop words.
+KEPT = ("need", "use", "used", "using", "without", "across", "between", "multiple", "single", "further", "new", "own", "same", "such", "most", "more", "less")
+FURTHER = ("also", "however", "therefore", "thus", "et", "al", "eg", "ie", "etc", "would", "could", "may", "might", "one", "two", "three")
+STOP_WORDS = tuple(w for w in ENGLISH if w not in KEPT) + FURTHER
+#: Cues of negation, in order; those of one word stand as words, the others anywhere.
+NEGATION_CUES = (
+    "does not", "do not", "did not", "has not", "have not", "had not", "is not", "are not", "was not", "were not", "will not", "would not", "could not", "should not", "cannot", "can not", "must not", "lack of", "absence of",
+    "instead of", "other than", "rather than", "as opposed to", "not", "no", "never", "neither", "nor", "without", "except", "excluding", "apart from",
+)
+WORD_CUES = ("not", "no", "never", "neither", "nor", "without")
+#: A question for what is not, and an exclusion.
+WHICH_NOT = r"(?i)which\s+(?:of\s+the\s+following\s+)?is\s+not"
+EXCLUSION = r"(?i)(.+?)\s+(?:except|excluding|apart from)\s+(.+?)(?:\?|$)"
+#: Words that one cue negates, and that a question negates, at most.
+CUE_WORDS, NEGATED_WORDS = 3, 5
 #: Patterns of multi-hop questions.
-MULTI_HOP = (r"\bwho\b.*\bof\b.*\bof\b", r"\bwhich\b.*\bthat\b", r"\bwhere\b.*\bwho\b", r"\bwhen\b.*\bwho\b", r"\bboth\b.*\band\b", r"\bthe same\b", r"\bborn in\b.*\bwhere\b", r"\bfather of\b|\bmother of\b|\bwife of\b|\bhusband of\b")
-#: Relation words that a question is decomposed on.
-RELATIONS = ("author", "birthplace", "capital", "ceo", "child", "country", "creator", "daughter", "director", "father", "founder", "husband", "mother", "spouse", "wife")
+MULTI_HOP = (
+    r"(who|what|which)\s+(was|is|are)\s+the\s+.{2,30}\s+of\s+",
+    r"what\s+(is|are)\s+the\s+.{2,30}\s+of\s+",
+    r"where\s+(is|are)\s+.{2,30}\s+(located|found|situated)",
+    r"when\s+(did|do|does)\s+.{2,30}\s+(happen|occur|start|end)",
+    r"why\s+(does|do|did)\s+.{2,30}\s+(cause|lead|result)",
+    r"how\s+(does|do|did)\s+.{2,30}\s+(affect|impact|influence)",
+    r"\bwhich\b.{10,}\band\b.{5,}\bwhich\b",
+    r"what\s+(is|are)\s+the\s+effect.{10,}\bof\b.{5,}\bon\b",
+)
+#: Relation words that a question is decomposed on, in order.
+RELATIONS = ("spouse", "parent", "child", "founder", "creator", "inventor", "discoverer", "author", "director", "president", "capital", "currency", "language", "population", "area", "location")
 
 
 def tokens(text: Column) -> Column:
@@ -118,27 +148,50 @@ def lexical_overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.array_intersect(words, space_tokens(text))) / F.size(words))
 
 
-def negation_cue(text: Column) -> Column:
-    """The first cue of the list that a text has, null if none."""
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z]+", " "), F.lit(" "))
-    return F.coalesce(*[F.when(low.contains(f" {cue} "), F.lit(cue)) for cue in NEGATION_CUES])
+def _first_words(text: Column, most: int = CUE_WORDS) -> Column:
+    """Up to `most` words of a text, without question marks at its end."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\?+$", "")
+    return F.slice(F.filter(F.split(bare, r"\s+"), lambda w: w != ""), 1, most)
+
+
+def _cues(low: Column) -> Column:
+    """(cue, words after its first place) of each cue that a lower-cased text has, in the list's order."""
+
+    def one(cue: str) -> Column:
+        if cue in WORD_CUES:
+            here, after = low.rlike(rf"\b{cue}\b"), F.regexp_extract(low, rf"\b{cue}\b\s+(.+?)(?:\?|$)", 1)
+        else:
+            here, after = low.contains(cue), F.substring(low, F.instr(low, cue) + len(cue), F.length(low))
+        return F.when(here, F.struct(F.lit(cue).alias("cue"), _first_words(after).alias("words")))
 
+    return F.array_compact(F.array(*[one(c) for c in NEGATION_CUES]))
 
-def negated_words(text: Column, most: int = 3) -> Column:
-    """Up to three words after the cue."""
-    low = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^a-z]+", " ")), F.lit(" "))
-    cue = negation_cue(text)
-    after = F.call_function("substring_index", low, F.concat(F.lit(" "), cue, F.lit(" ")), F.lit(-1))
-    rest = F.split(F.trim(after), " ")
-    return F.when(cue.isNull(), F.array().cast("array<string>")).otherwise(F.slice(F.filter(rest, lambda w: w != ""), 1, most))
+
+def negation(text: Column) -> Column:
+    """(kind, cues, negated): a question for what is not (`which_not`), an `exclusion`, a `negated_concept` or `none`.
+
+    The first of these that holds counts; only the third names its cues. Nulls are `none`.
+    """
+    low = F.lower(text)
+    none = F.array().cast("array<string>")
+    found = _cues(low)
+    which = F.struct(F.lit("which_not").alias("kind"), none.alias("cues"), _first_words(F.element_at(F.split(low, WHICH_NOT, 2), -1)).alias("negated"))
+    excluded = F.struct(F.lit("exclusion").alias("kind"), none.alias("cues"), F.slice(F.filter(F.split(F.regexp_extract(text, EXCLUSION, 2), r"\s+"), lambda w: w != ""), 1, CUE_WORDS).alias("negated"))
+    words = F.slice(F.array_distinct(F.flatten(F.transform(found, lambda x: x["words"]))), 1, NEGATED_WORDS)
+    concept = F.struct(F.lit("negated_concept").alias("kind"), F.transform(found, lambda x: x["cue"]).alias("cues"), words.alias("negated"))
+    plain = F.struct(F.lit("none").alias("kind"), none.alias("cues"), none.alias("negated"))
+    return F.when(text.rlike(WHICH_NOT), which).when(text.rlike(EXCLUSION), excluded).when(F.size(found) > 0, concept).otherwise(plain)
 
 
 def negation_marked(text: Column) -> Column:
-    """Each cue of the text marked by _neg at its first place."""
-    out = text
-    for cue in NEGATION_CUES:
-        out = F.regexp_replace(out, rf"(?is)^(.*?)\b({cue})\b(?!_neg)(.*)$", "$1$2_neg$3") if " " not in cue else out
-    return out
+    """Each cue of a negated concept marked by _neg at its first place, in the list's order; other texts stay."""
+    cues = negation(text)["cues"]
+
+    def mark(done: Column, cue: Column) -> Column:
+        at = F.instr(done, cue)
+        return F.when(at > 0, F.concat(F.substring(done, F.lit(1), at + F.length(cue) - 1), F.lit("_neg"), F.substring(done, at + F.length(cue), F.length(done)))).otherwise(done)
+
+    return F.aggregate(cues, text, mark)
 
 
 def is_multi_hop(text: Column) -> Column:
@@ -150,10 +203,23 @@ def is_multi_hop(text: Column) -> Column:
 
 
 def decomposed(text: Column) -> Column:
-    """Sub-questions of a `relation of rest` question, else the question alone."""
-    pattern = rf"(?i)\b({'|'.join(RELATIONS)}) of (.+?)[?.]?$"
-    relation, rest = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
-    return F.when(relation != "", F.array(rest, F.concat_ws(" ", relation, F.lit("of"), rest))).otherwise(F.array(text))
+    """Sub-questions of a `.. relation .. of rest` question, by the first relation of the list, else the question alone."""
+    low = F.lower(text)
+    pattern = r"(.+?)\s+of\s+(.+?)(?:\?|$)"
+    main, rest = F.regexp_extract(low, pattern, 1), F.regexp_replace(F.trim(F.regexp_extract(low, pattern, 2)), r"\?+$", "")
+    relation = F.coalesce(*[F.when(main.contains(r), F.lit(r)) for r in RELATIONS])
+    return F.when(low.rlike(pattern) & relation.isNotNull(), F.array(F.concat(F.lit("What is "), rest, F.lit("?")), F.concat(F.lit("What is the "), relation, F.lit(" of "), rest, F.lit("?")))).otherwise(F.array(text))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores where its input is small: a file of one row group is one task otherwise.
+
+    The shuffle is of at most a scan partition for each core; larger inputs have splits enough and stay as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SCAN_BYTES else df
 
 
 def json_list(answer: Column) -> Column:

@@ -11,19 +11,19 @@ K1, B = 1.2, 0.75
 
 def term_counts(documents: DataFrame, id_col: str, text_col: str, long_only: bool = False) -> DataFrame:
     """(doc_id, term, tf)."""
-    words = (T.long_tokens if long_only else T.tokens)(F.col(text_col))
-    return documents.select(F.col(id_col).alias("doc_id"), F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    words = (T.long_tokens if long_only else T.tokens)(F.col("text"))
+    return T.spread(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def scores(documents: DataFrame, queries: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", distinct_terms: bool = False, long_only: bool = False, k1: float = K1, b: float = B) -> DataFrame:
     """(qid, doc_id, score) of the documents that share a term with a query.
 
-    Repeated query terms count as often as they occur, unless distinct_terms. Documents are read once: lengths and
-    term counts come from the same token arrays, and only terms of the queries are exploded into the join.
+    Repeated query terms count as often as they occur, unless distinct_terms. Only terms of the queries are exploded
+    into the join; lengths, frequencies and term counts each read the documents, which a small input deals out first.
     """
     words = (T.long_tokens if long_only else T.tokens)
     q = queries.select(F.col(query_id).alias("qid"), F.explode(words(F.col(query_text))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qn"))
-    tokened = documents.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words")).select("doc_id", "words", F.size("words").alias("len"))
+    tokened = T.spread(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", words(F.col("text")).alias("words")).select("doc_id", "words", F.size("words").alias("len"))
     corpus = tokened.agg(F.count("*").alias("n"), F.avg(F.greatest("len", F.lit(0))).alias("avg_len"))
     tf = tokened.select("doc_id", "len", F.explode("words").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -10,15 +10,21 @@ from . import similarity
 BLOCKS, BLOCK = 16, 256
 
 
-def negation_factor(text: Column, concept: Column, penalty: float = 0.5, boost: float = 0.3, reach: int = 50) -> Column:
-    """The factor of a document's score for a negated concept: boosted if a cue stands up to `reach` characters before it, cut if it is only present."""
-    low, word = F.lower(text), F.lower(concept)
-    at = F.instr(low, word)
-    prefix = F.substring(low, F.greatest(at - reach, F.lit(1)), F.least(at - 1, F.lit(reach)))
-    cue = F.lit(False)
-    for c in T.NEGATION_CUES:
-        cue = cue | prefix.contains(c)
-    return F.when((word == "") | (at == 0), 1.0).when(cue, 1 + boost).otherwise(1 - penalty)
+def negation_factor(text: Column, negated: Column, cues: Column, penalty: float = 0.5, boost: float = 0.3, reach: int = 50) -> Column:
+    """The factor of a document's score for the negated words and cues (arrays) of a question (`text.negation`).
+
+    Of words that the text has, one counts as negated there if a cue begins up to `reach` characters before the
+    word's first place: then the score is boosted, and cut if a word is only present. No words or no text: 1.
+    """
+    low = F.lower(text)
+
+    def denied(word: Column) -> Column:
+        at = F.instr(low, word)
+        start = F.greatest(at - reach, F.lit(1))
+        return F.exists(cues, lambda cue: F.substring(low, start, at - start + F.length(cue) - 1).contains(cue))
+
+    here = F.filter(negated, lambda w: (w != "") & (F.instr(low, w) > 0))
+    return F.when(low.isNull() | (F.size(here) <= 0), 1.0).when(F.exists(here, denied), 1 + boost).otherwise(1 - penalty)
 
 
 def tfidf_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

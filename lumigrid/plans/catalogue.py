@@ -85,7 +85,7 @@ def _signals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """BM25's 20 and idf intersection's 30 best documents of each benchmark item."""
     docs, queries = _read(spark, d, "documents"), _read(spark, d, "benchmark")
     lexical = bm25.scores(docs, queries).withColumn("score", F.round("score", 6))
-    terms = lambda df, i: df.select(F.col(i).alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("cell"))
+    terms = lambda df, i: T.spread(df.select(F.col(i).alias("id"), "text")).select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("cell"))
     q, t = terms(queries, "item_id"), terms(docs, "doc_id")
     needed = t.join(q.select("cell").distinct(), "cell", "left_semi")
     n = docs.agg(F.count("*").alias("n"))
@@ -562,7 +562,7 @@ def q_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return grams.groupBy("gram", "doc_id").agg(F.count("*").alias("c")).groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("df"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
 _ACR = ", ".join(f"'{w}'" for w in T.ACRONYMS)
 _KEPT = rf"list_filter({TOKENS}, lambda w: w IN ({_ACR}) OR (len(w) >= 3 AND regexp_full_match(w, '\p{{L}}+') AND w NOT IN ({_STOPS})))"
 _POST = rf"kw AS (SELECT doc_id, {_KEPT} AS w FROM documents), post AS (SELECT DISTINCT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS phrase FROM kw), voc AS (SELECT phrase, count(*) AS df FROM post GROUP BY 1 HAVING count(*) >= 2)"
@@ -676,15 +676,41 @@ def q_query_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(Q.query_fingerprints(phrases, prints), "val", to=5)
 
 
-_CUES = " ".join(f"WHEN contains(l, ' {c} ') THEN '{c}'" for c in T.NEGATION_CUES)
+#: The rules of negation once more, as SQL: pieces by a separator, first words of a text.
+_CUE_LIST = "['does not', 'do not', 'did not', 'has not', 'have not', 'had not', 'is not', 'are not', 'was not', 'were not', 'will not', 'would not', 'could not', 'should not', 'cannot', 'can not', 'must not', 'lack of', 'absence of', 'instead of', 'other than', 'rather than', 'as opposed to', 'not', 'no', 'never', 'neither', 'nor', 'without', 'except', 'excluding', 'apart from']"
+_WORDS3 = r"list_filter(string_split_regex(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\?+$', ''), '\s+'), lambda w: w <> '')[1:3]"
+_AFTER = r"CASE WHEN c IN ('not', 'no', 'never', 'neither', 'nor', 'without') THEN regexp_extract(l, '\b' || c || '\b\s+(.+?)(?:\?|$)', 1) ELSE substring(l, instr(l, c) + len(c)) END"
+_NEGATION = rf"""
+m AS (SELECT conv_id, turn, text AS t, lower(text) AS l FROM conversations),
+cue AS (SELECT conv_id, turn, k, c, {_WORDS3.format(_AFTER)} AS ws FROM (SELECT m.*, k, {_CUE_LIST}[k] AS c FROM m, range(1, 33) AS r(k)) WHERE CASE WHEN c IN ('not', 'no', 'never', 'neither', 'nor', 'without') THEN regexp_matches(l, '\b' || c || '\b') ELSE contains(l, c) END),
+wo AS (SELECT conv_id, turn, w, min(100 * k + i) AS o FROM (SELECT conv_id, turn, k, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cue) GROUP BY 1, 2, 3),
+nc AS (SELECT conv_id, turn, list(c ORDER BY k) AS cues FROM cue GROUP BY 1, 2), nw AS (SELECT conv_id, turn, list(w ORDER BY o)[1:5] AS ws FROM wo GROUP BY 1, 2),
+neg AS (SELECT conv_id, turn, t, l, CASE WHEN regexp_matches(t, '(?i)which\s+(?:of\s+the\s+following\s+)?is\s+not') THEN 'which_not' WHEN regexp_matches(t, '(?i)(.+?)\s+(?:except|excluding|apart from)\s+(.+?)(?:\?|$)') THEN 'exclusion' WHEN cues IS NOT NULL THEN 'negated_concept' ELSE 'none' END AS kind, cues, ws FROM m LEFT JOIN nc USING (conv_id, turn) LEFT JOIN nw USING (conv_id, turn)),
+negated AS (SELECT conv_id, turn, l, kind, CASE WHEN kind = 'negated_concept' THEN cues ELSE [] END AS cues,
+  coalesce(CASE kind WHEN 'which_not' THEN {_WORDS3.format(r"regexp_replace(l, '^.*?which\s+(?:of\s+the\s+following\s+)?is\s+not', '', 's')")} WHEN 'exclusion' THEN list_filter(string_split_regex(regexp_extract(t, '(?i)(.+?)\s+(?:except|excluding|apart from)\s+(.+?)(?:\?|$)', 2), '\s+'), lambda w: w <> '')[1:3] WHEN 'negated_concept' THEN ws END, []) AS ws FROM neg)"""
 
 
-@register(f"WITH l AS (SELECT conv_id, turn, ' ' || regexp_replace(lower(text), '[^a-z]+', ' ', 'g') || ' ' AS l FROM conversations) SELECT conv_id, turn, CASE {_CUES} END AS cue FROM l")
+@register(f"WITH {_NEGATION} SELECT conv_id, turn, kind, array_to_string(cues, ',') AS cues, array_to_string(ws, ' ') AS negated FROM negated")
 def q_negation_cues(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "conversations").select("conv_id", "turn", T.negation_cue(F.col("text")).alias("cue"))
+    n = _read(spark, d, "conversations").select("conv_id", "turn", T.negation(F.col("text")).alias("n"))
+    return n.select("conv_id", "turn", "n.kind", F.array_join("n.cues", ",").alias("cues"), F.array_join("n.negated", " ").alias("negated"))
 
 
-@register("SELECT conv_id, turn, " + " OR ".join("regexp_matches(lower(text), '" + p + "')" for p in T.MULTI_HOP) + " AS multi_hop FROM conversations")
+@register(rf"""WITH {_NEGATION}, pair AS (SELECT a.conv_id, a.turn, a.cues, list_filter(a.ws, lambda w: w <> '' AND contains(b.l, w)) AS ws, b.l AS d FROM negated a JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.kind <> 'none')
+SELECT conv_id, turn, CASE WHEN len(ws) = 0 THEN 1.0 WHEN len(list_filter(ws, lambda w: len(list_filter(cues, lambda c: contains(substring(d, greatest(instr(d, w) - 50, 1), instr(d, w) - greatest(instr(d, w) - 50, 1) + len(c) - 1), c))) > 0)) > 0 THEN 1.3 ELSE 0.5 END::DOUBLE AS factor FROM pair""")
+def q_negation_scoring(spark: SparkSession, d: str) -> DataFrame:
+    """Each message with a negation as a question, and the message after it as the document."""
+    said = _read(spark, d, "conversations").select("conv_id", "turn", "text")
+    asked = said.select("conv_id", "turn", T.negation(F.col("text")).alias("n")).where("n.kind != 'none'")
+    answer = said.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("body"))
+    return asked.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", rerank.negation_factor(F.col("body"), F.col("n.negated"), F.col("n.cues")).alias("factor"))
+
+
+@register(
+    r"""SELECT conv_id, turn, regexp_matches(lower(text), '(who|what|which)\s+(was|is|are)\s+the\s+.{2,30}\s+of\s+') OR regexp_matches(lower(text), 'what\s+(is|are)\s+the\s+.{2,30}\s+of\s+') OR regexp_matches(lower(text), 'where\s+(is|are)\s+.{2,30}\s+(located|found|situated)')
+OR regexp_matches(lower(text), 'when\s+(did|do|does)\s+.{2,30}\s+(happen|occur|start|end)') OR regexp_matches(lower(text), 'why\s+(does|do|did)\s+.{2,30}\s+(cause|lead|result)') OR regexp_matches(lower(text), 'how\s+(does|do|did)\s+.{2,30}\s+(affect|impact|influence)')
+OR regexp_matches(lower(text), '\bwhich\b.{10,}\band\b.{5,}\bwhich\b') OR regexp_matches(lower(text), 'what\s+(is|are)\s+the\s+effect.{10,}\bof\b.{5,}\bon\b') AS multi_hop FROM conversations"""
+)
 def q_multi_hop(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "conversations").select("conv_id", "turn", T.is_multi_hop(F.col("text")).alias("multi_hop"))
 

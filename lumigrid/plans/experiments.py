@@ -25,10 +25,13 @@ def q_top_terms(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(S.top(_matrix(spark, d), "doc_id", "weight", "phrase", 5), "weight").select("doc_id", "phrase", "weight", "rank")
 
 
-@register(f"WITH {_MATRIX} SELECT a.doc_id AS a, b.doc_id AS b, phrase, round(least(a.w, b.w), 6) AS weight FROM m a JOIN m b USING (phrase) WHERE a.doc_id % 100 = 0 AND b.doc_id = a.doc_id + 1 AND a.w > 0 AND b.w > 0")
+@register(f"WITH {_MATRIX}, q AS (SELECT doc_id, phrase, w FROM m WHERE doc_id % 100 = 0 AND w > 0) SELECT q.doc_id AS a, b.doc_id AS b, count(*) AS n_shared, round(sum(least(q.w, b.w)), 4) AS weight FROM q JOIN m b USING (phrase) WHERE b.w > 0 AND b.doc_id <> q.doc_id GROUP BY 1, 2")
 def q_shared_terms(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _read(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
-    return _rounded(S.shared_terms(_matrix(spark, d), pairs), "weight")
+    """The stated query set, every hundredth document, against all others: terms both have and their weight."""
+    m = _matrix(spark, d).where("weight > 0")
+    q = m.where("doc_id % 100 = 0").select(F.col("doc_id").alias("a"), "phrase", F.col("weight").alias("wa"))
+    both = q.join(m, "phrase").where("doc_id != a").groupBy("a", F.col("doc_id").alias("b"))
+    return _rounded(both.agg(F.count("*").alias("n_shared"), F.sum(F.least("wa", "weight")).alias("weight")), "weight", to=4)
 
 
 @register(f"WITH {_MATRIX}, l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM m GROUP BY 1), s AS (SELECT a.doc_id AS qid, b.doc_id, round(sum(a.w * b.w) / any_value(x.l * y.l), 5) AS score FROM m a JOIN m b USING (phrase) JOIN l x ON x.doc_id = a.doc_id JOIN l y ON y.doc_id = b.doc_id WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5")

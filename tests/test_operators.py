@@ -89,9 +89,9 @@ def test_sdr_keeps_its_bits(spark):
 def test_text(spark):
     df = spark.createDataFrame([("A-b one. Two! Three? four",)], "t string")
     t = F.col("t")
-    r = df.select(T.hyphens_opened(t).alias("h"), T.sentences(t).alias("s"), T.tokens(t).alias("w"), T.ngrams(T.tokens(t), 1, 2).alias("g"), T.negation_cue(F.lit("all except him")).alias("c"), T.negated_words(F.lit("all except him and her now")).alias("n"), T.is_multi_hop(F.lit("Who is the father of him?")).alias("m"), T.decomposed(F.lit("Who is the mother of Ada Lovelace?")).alias("d"), T.json_list(F.lit('```json\n["a", "b"]\n```')).alias("j"), T.relation_type(F.lit("is located in")).alias("p")).first()
+    r = df.select(T.hyphens_opened(t).alias("h"), T.sentences(t).alias("s"), T.tokens(t).alias("w"), T.ngrams(T.tokens(t), 1, 2).alias("g"), T.negation(F.lit("All except Him and her now?")).alias("n"), T.is_multi_hop(F.lit("Who is the father of him?")).alias("m"), T.decomposed(F.lit("Who is the spouse of Ada Lovelace?")).alias("d"), T.json_list(F.lit('```json\n["a", "b"]\n```')).alias("j"), T.relation_type(F.lit("is located in")).alias("p")).first()
     assert r.h == "A b one. Two! Three? four" and r.s == ["A-b one.", "Two!", "Three?", "four"] and r.w == ["a", "b", "one", "two", "three", "four"]
-    assert len(r.g) == 11 and r.c == "except" and r.n == ["him", "and", "her"] and r.m and r.d == ["Ada Lovelace", "mother of Ada Lovelace"] and r.j == ["a", "b"] and r.p == "IS_LOCATED_IN"
+    assert len(r.g) == 11 and r.n == ("exclusion", [], ["Him", "and", "her"]) and r.m and r.d == ["What is ada lovelace?", "What is the spouse of ada lovelace?"] and r.j == ["a", "b"] and r.p == "IS_LOCATED_IN"
 
 
 @pytest.mark.parametrize(("n", "starts"), [(2, [0]), (3, [0]), (6, [0, 2, 3]), (7, [0, 2, 4])])
@@ -198,8 +198,31 @@ def test_streaming(spark, tmp_path):
 
 
 def test_rerank(spark):
-    df = spark.createDataFrame([("paris without the tower", "tower"), ("the tower", "tower"), ("nothing", "tower")], "t string, c string")
-    assert [r.f for r in df.select(rerank.negation_factor(F.col("t"), F.col("c")).alias("f")).collect()] == [1.3, 0.5, 1.0]
+    near = "without " + "x" * 41 + " tower"
+    df = spark.createDataFrame([("Paris without the Tower", ["tower"]), ("the tower", ["tower"]), ("nothing", ["tower"]), (near, ["tower"]), ("x" + near, ["tower"]), ("without", ["without"]), ("not a but b", ["b", "q"]), (None, ["a"]), ("a", [])], "t string, w array<string>")
+    cues = F.array(F.lit("without"), F.lit("not"))
+    assert [round(r.f, 9) for r in df.select(rerank.negation_factor(F.col("t"), F.col("w"), cues).alias("f")).collect()] == [1.3, 0.5, 1.0, 1.3, 1.3, 0.5, 1.3, 1.0, 1.0]
+
+
+def test_negation(spark):
+    said = {
+        "Which of the following is not in France today?": ("which_not", [], ["in", "france", "today"]), "What has wings except birds and bats?": ("exclusion", [], ["birds", "and", "bats"]),
+        "It does not contain water and is not a lake": ("negated_concept", ["does not", "is not", "not"], ["contain", "water", "and", "a", "lake"]), "A notable case": ("none", [], []), "Without doubt": ("negated_concept", ["without"], ["doubt"]),
+        "I cannot": ("negated_concept", ["cannot"], []), "": ("none", [], []), "lack of sleep or neither": ("negated_concept", ["lack of", "neither"], ["sleep", "or", "neither"]),
+    }
+    df = spark.createDataFrame([(t,) for t in [*said, None]], "t string")
+    got = {r.t: r.n for r in df.select("t", T.negation(F.col("t")).alias("n")).collect()}
+    assert {t: tuple(got[t]) for t in said} == said and got[None].kind == "none"
+    marked = {r.t: r.m for r in df.select("t", T.negation_marked(F.col("t")).alias("m")).collect()}
+    assert marked["It does not contain water and is not a lake"] == "It does not_neg_neg contain water and is not_neg a lake" and marked["A notable case"] == "A notable case"
+
+
+def test_multi_hop_and_decomposition(spark):
+    hops = ["what is the capital of X", "where is the old tower located", "when did the long war end", "why does smoking cause harm", "how do drugs affect sleep", "which of the many rivers and lakes but which", "who wrote it"]
+    df = spark.createDataFrame([(t,) for t in hops], "t string")
+    assert [r.m for r in df.select(T.is_multi_hop(F.col("t")).alias("m")).collect()] == [True] * 5 + [True, False]
+    asked = spark.createDataFrame([("Who was the parent of the founder of Y?",), ("the top of it",), ("plain",), (None,)], "t string")
+    assert [r.d for r in asked.select(T.decomposed(F.col("t")).alias("d")).collect()] == [["What is the founder of y?", "What is the parent of the founder of y?"], ["the top of it"], ["plain"], [None]]
 
 
 def test_label_separation(spark):
