@@ -265,8 +265,8 @@ def merge(shards: list[Shard], depth: int, windows: np.ndarray | None = None) ->
     base = np.cumsum(sizes) - sizes
     symbols = np.concatenate([s.symbols for s in shards])
     step = np.concatenate([s.step + at for s, at in zip(shards, base, strict=True)])
-    pairs, steps = symbols[step].astype(np.int64) << 8 | symbols, step[step]
-    low = pairs.astype(np.uint16)
+    # Two steps on and the symbols read on the way, as one number.
+    ways = step[step] << 16 | symbols[step].astype(np.int64) << 8 | symbols
     interleave = np.arange(len(symbols)) if windows is None else np.sort(windows)
     n, rounds = len(interleave), -(-depth // 2)
     group = np.zeros(n, np.int64)
@@ -274,12 +274,16 @@ def merge(shards: list[Shard], depth: int, windows: np.ndarray | None = None) ->
     new = np.zeros(n, np.uint8)
     new[:1] = 1
     for _ in range(rounds):
-        order = np.argsort(low.take(interleave), kind="stable")
+        way = ways.take(interleave)
+        order = np.argsort(way.astype(np.uint16), kind="stable")
+        way = way.take(order)
+        interleave = way >> 16
         # Rows behind one another are told apart by their group and the symbols before it, as one number.
-        ranked = (group << 16 | pairs.take(interleave)).take(order)
-        interleave = steps.take(interleave.take(order))
-        np.not_equal(ranked[1:], ranked[:-1], out=new[1:].view(bool))
-        parted += new
+        way &= 0xFFFF
+        way |= group.take(order) << 16
+        np.not_equal(way[1:], way[:-1], out=new[1:].view(bool))
+        if windows is None:
+            parted += new
         np.cumsum(new, out=group)
     if windows is not None:
         return interleave, np.where(new == 1, 0, depth)
@@ -295,22 +299,37 @@ def merge(shards: list[Shard], depth: int, windows: np.ndarray | None = None) ->
     return interleave, np.minimum(prefixes, depth)
 
 
+def in_several(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Mask of the hashes that several documents have, by tables of slots; hashes that lose their slot go to the next table."""
+    out = np.zeros(len(hashes), bool)
+    left = np.arange(len(hashes))
+    while len(left):
+        bits = (2 * len(left)).bit_length()
+        own, doc = hashes[left], docs[left]
+        slot = (own >> U(64 - bits)).astype(np.int64)
+        table, holder, shared = np.empty(1 << bits, U), np.empty(1 << bits, docs.dtype), np.zeros(1 << bits, bool)
+        table[slot], holder[slot] = own, doc
+        won = table[slot] == own
+        slot = slot[won]
+        shared[slot[holder[slot] != doc[won]]] = True
+        out[left[won]] = shared[slot]
+        left = left[~won]
+        # Other bits of the hashes decide the next slots.
+        hashes = hashes * U(0x9E3779B97F4A7C15)
+    return out
+
+
 def _several(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first window, windows) of the stretches whose windows' hashes several documents may have; the others have none.
 
-    Hashes that share a slot count as one, which leaves more windows, never fewer. Stretches that share bytes are one.
+    Stretches that share bytes are one.
     """
     starts, windows = np.cumsum(sizes) - sizes, sizes - length + 1
     at = ranges(starts, windows)
-    slots = 1 << max(10, int(8 * len(at)).bit_length())
-    slot = (window_hashes(text.astype(U) + U(1), length)[at] >> U(64 - (slots.bit_length() - 1))).astype(np.int64)
+    hashes = window_hashes(text.astype(U) + U(1), length)[at]
     own = np.repeat(np.unique(doc, return_inverse=True)[1].astype(np.int32), windows)
-    holder = np.empty(slots, np.int32)
-    holder[slot] = own
-    shared = np.zeros(slots, bool)
-    shared[slot[holder[slot] != own]] = True
     mask = np.zeros(len(text), bool)
-    mask[at] = shared[slot]
+    mask[at] = in_several(hashes, own)
     a, b = runs(mask)
     if not len(a):
         return a, a, a
