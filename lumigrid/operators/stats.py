@@ -154,6 +154,74 @@ def geometry(signal: DataFrame) -> DataFrame:
     return signal.select("qid", F.nth_value("score", 1).over(w).alias("s1"), F.nth_value("score", 2).over(w).alias("s2"), F.nth_value("score", 5).over(w).alias("s5"), "score").groupBy("qid").agg((F.max("s1") - F.max("s2")).alias("d12"), (F.max("s1") - F.max("s5")).alias("d15"), F.stddev_pop("score").alias("sd"), F.count("*").alias("n"))
 
 
+def _described(signal: DataFrame, gold: DataFrame, name: str) -> DataFrame:
+    """Of each query's list: its top scores, spread, sum, and the score and rank of its gold document (the least id)."""
+    one = gold.groupBy("qid").agg(F.min("doc_id").alias("g"))
+    ranked = signal.withColumn("rank", F.row_number().over(_q().orderBy(F.desc("score"), "doc_id"))).join(one, "qid", "left")
+    top = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
+    own = F.col("doc_id") == F.col("g")
+    agg = {
+        "n": F.count("*"), "s1": top(1), "s2": top(2), "s3": top(3), "s5": top(5), "sigma": F.stddev_pop("score"), "total": F.sum("score"), "most": F.max(F.abs("score")),
+        "gold": F.max(F.when(own, F.col("score"))), "gold_rank": F.max(F.when(own, F.col("rank"))), "other": F.max(F.when(~own, F.col("score"))),
+    }
+    return ranked.groupBy("qid").agg(*[v.alias(f"{name}_{k}") for k, v in agg.items()])
+
+
+def pair_geometry(a: DataFrame, b: DataFrame, gold: DataFrame) -> DataFrame:
+    """The 16 geometry features of each query's two lists: gaps, deviations, their tau, top mass, and the gold document's ranks and margins.
+
+    Features of a document that a list lacks are 0, its ranks null.
+    """
+    both = _described(a, gold, "a").join(_described(b, gold, "b"), "qid").join(kendall(side_by_side(a, b)).select("qid", "tau"), "qid", "left")
+    zero = F.lit(0.0)
+    gap = lambda s, x, y: F.coalesce(F.col(f"{s}_{x}") - F.col(f"{s}_{y}"), zero)
+    held = F.col("a_gold").isNotNull() & F.col("b_gold").isNotNull()
+    joint = lambda s: F.coalesce((F.col(f"{s}_gold") - F.coalesce(F.col(f"{s}_other"), zero)) / F.when(F.col(f"{s}_most") > 0, F.col(f"{s}_most")).otherwise(1.0), zero)
+    total = F.col("a_total") + F.col("b_total")
+    out = {
+        **{f"{s}_d12": gap(s, "s1", "s2") for s in "ab"}, **{f"{s}_d15": gap(s, "s1", "s5") for s in "ab"}, **{f"{s}_sigma": F.col(f"{s}_sigma") for s in "ab"},
+        "tau": F.coalesce("tau", F.lit(1.0)), "kappa": F.when(total > 0, (F.col("a_s1") + F.col("b_s1")) / total).otherwise(0.0), "cross_gold_margin": F.when(held, F.col("a_gold") - F.col("b_gold")).otherwise(0.0),
+        **{f"gold_rank_{s}": F.when(held, F.col(f"{s}_gold_rank")) for s in "ab"}, **{f"gold_d1{k}_{s}": gap(s, "gold", f"s{k}") for s in "ab" for k in (3, 5)}, "joint_margin": 0.5 * (joint("a") + joint("b")),
+    }
+    return both.select("qid", *[v.alias(k) for k, v in out.items()])
+
+
+def complementarity(a: DataFrame, b: DataFrame, gold: DataFrame, depth: int = 60, missing: int = 999) -> DataFrame:
+    """Per query: tau-b of both ranks over the union of their top documents (a document that a list lacks has the rank `missing`), both MRRs, top-3 overlap, whether the first documents differ, and the gap of the gold document's ranks."""
+    rank = lambda s, n: s.select("qid", "doc_id", F.row_number().over(_q().orderBy(F.desc("score"), "doc_id")).alias(n))
+    joined = rank(a, "ra").join(rank(b, "rb"), ["qid", "doc_id"], "full")
+    known = joined.where(f"ra <= {depth} or rb <= {depth}").select("qid", "doc_id", F.coalesce("ra", F.lit(missing)).alias("ra"), F.coalesce("rb", F.lit(missing)).alias("rb"))
+    x, y = known.alias("x"), known.alias("y")
+    sides = x.join(y, (F.col("x.qid") == F.col("y.qid")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.qid").alias("qid"), F.signum(F.col("x.ra") - F.col("y.ra")).alias("u"), F.signum(F.col("x.rb") - F.col("y.rb")).alias("v"))
+    tau = sides.groupBy("qid").agg((F.sum(F.col("u") * F.col("v")) / F.nullif(F.sqrt(F.count_if(F.col("u") != 0) * F.count_if(F.col("v") != 0)), F.lit(0.0))).alias("tau"))
+    gold_one = gold.groupBy("qid").agg(F.min("doc_id").alias("g"))
+    marked = joined.join(gold.select("qid", "doc_id").distinct().withColumn("hit", F.lit(1)), ["qid", "doc_id"], "left").join(gold_one, "qid")
+    of = lambda r: F.coalesce(1.0 / F.min(F.when(F.col("hit") == 1, F.col(r))), F.lit(0.0))
+    first = lambda r: F.max(F.when(F.col(r) == 1, F.col("doc_id")))
+    place = lambda r: F.coalesce(F.max(F.when(F.col("doc_id") == F.col("g"), F.col(r))), F.lit(missing))
+    per = marked.groupBy("qid").agg(of("ra").alias("mrr_a"), of("rb").alias("mrr_b"), (F.count_if((F.col("ra") <= 3) & (F.col("rb") <= 3)) / 3).alias("top3_overlap"), F.coalesce(first("ra") != first("rb"), F.lit(False)).alias("first_differs"), F.abs(place("ra") - place("rb")).alias("gold_rank_gap"))
+    return per.join(tau, "qid", "left")
+
+
+def fusion_gain(metrics: DataFrame, singles: DataFrame) -> DataFrame:
+    """(op, qid, gain): an operator's MRR (op, qid, mrr) less the better one of the two lists' (qid, mrr_a, mrr_b)."""
+    return metrics.join(singles.select("qid", F.greatest("mrr_a", "mrr_b").alias("best")), "qid").select("op", "qid", (F.col("mrr") - F.col("best")).alias("gain"))
+
+
+def wilcoxon(deltas: DataFrame, by: str) -> DataFrame:
+    """Wilcoxon's signed ranks of (by, delta): the non-zero changes, their average ranks' sums by sign, and z with correction for ties.
+
+    Ranks come from counts of equal sizes, so no group of rows is in one place.
+    """
+    sizes = deltas.where("delta != 0").groupBy(by, F.abs("delta").alias("size")).agg(F.count("*").alias("m"), F.count_if(F.col("delta") > 0).alias("up"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(by).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.withColumn("rank", before + (F.col("m") + 1) / 2.0)
+    agg = ranked.groupBy(by).agg(F.sum("m").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("m") - F.col("up"))).alias("w_minus"), F.sum(F.pow("m", 3) - F.col("m")).alias("ties"))
+    n = F.col("n")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
+    return agg.select(by, "n", "w_plus", "w_minus", ((F.least("w_plus", "w_minus") - n * (n + 1) / 4.0) / F.nullif(sd, F.lit(0.0))).alias("z"))
+
+
 def query_type(rank_sum: Column, rank_rrf: Column) -> Column:
     """A: both first; B: only the sum; C: only rank fusion; D: neither."""
     return F.when((rank_sum == 1) & (rank_rrf == 1), "A").when(rank_sum == 1, "B").when(rank_rrf == 1, "C").otherwise("D")

@@ -292,7 +292,19 @@ def q_transforms(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.transforms(_signals(spark, d)[0]), "score", to=3)
 
 
-@register()
+_POLY = "(((((-39.69683028665376 * r + 220.9460984245205) * r - 275.9285104469687) * r + 138.3577518672690) * r - 30.66479806614716) * r + 2.506628277459239) * q / (((((-54.47609879822406 * r + 161.5858368580409) * r - 155.6989798598866) * r + 66.80131188771972) * r - 13.28068155288572) * r + 1)"
+_TAIL = "(((((-0.007784894002430293 * u - 0.3223964580411365) * u - 2.400758277161838) * u - 2.549732539343734) * u + 4.374664141464968) * u + 2.938163982698783) / ((((0.007784695709041462 * u + 0.3224671290700398) * u + 2.445134137142996) * u + 3.754408661907416) * u + 1)"
+
+
+@register(
+    f"""WITH {SIGNALS}, c AS (SELECT qid, doc_id, score AS s, min(score) OVER q AS lo, max(score) OVER q AS hi, avg(score) OVER q AS mu, stddev_pop(score) OVER q AS sd, sqrt(sum(score * score) OVER q) AS l2, (row_number() OVER (PARTITION BY qid ORDER BY score, doc_id DESC) - 0.5::DOUBLE) / count(*) OVER q AS p FROM a WINDOW q AS (PARTITION BY qid)),
+qs AS (SELECT qid, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS q2, quantile_cont(score, 0.75) AS q3 FROM a GROUP BY 1),
+e AS (SELECT *, exp((s - hi) / greatest(sd, 1e-9)) AS e, p - 0.5::DOUBLE AS q, (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS r, sqrt(-2 * ln(CASE WHEN p > 0.5 THEN 1 - p ELSE p END)) AS u FROM c JOIN qs USING (qid)),
+v AS (SELECT qid, doc_id, 'raw' AS method, s AS score FROM e UNION ALL SELECT qid, doc_id, 'minmax', CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 0 END FROM e UNION ALL SELECT qid, doc_id, 'zscore', CASE WHEN sd > 0 THEN (s - mu) / sd ELSE 0 END FROM e UNION ALL SELECT qid, doc_id, 'l2', CASE WHEN l2 > 0 THEN s / l2 ELSE 0 END FROM e
+UNION ALL SELECT qid, doc_id, 'quantile', p FROM e UNION ALL SELECT qid, doc_id, 'sigmoid', 1 / (1 + exp(-(s - q2) / greatest(q3 - q1, 1e-9))) FROM e UNION ALL SELECT qid, doc_id, 'softmax', e / sum(e) OVER (PARTITION BY qid) FROM e
+UNION ALL SELECT qid, doc_id, 'rank_gauss', CASE WHEN p < 0.02425 THEN {_TAIL} WHEN p > 1 - 0.02425 THEN -({_TAIL}) ELSE {_POLY} END FROM e)
+SELECT method, qid, doc_id, round(score::DOUBLE, 6) AS score FROM v"""
+)
 def q_calibration(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(stats.calibrated(_signals(spark, d)[0]), "score")
 

@@ -237,3 +237,54 @@ def q_magnitude_conditions(spark: SparkSession, d: str) -> DataFrame:
     fused = fusion.all_fused(signal(1.0, 0.5), signal(0.5, 1.0))
     ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("op", "qid").orderBy(F.desc(F.round("score", 9)), "doc_id")))
     return ranked.groupBy(F.col("qid").alias("condition"), "op").agg((F.max(F.when(F.col("doc_id") == "docA", F.col("rank"))) < F.max(F.when(F.col("doc_id") == "docB", F.col("rank")))).alias("a_above_b"))
+
+
+# ------------------------------------------------------------------------------------------- geometry and complementarity
+_SIDE = """SELECT qid, count(*) AS n, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2, max(score) FILTER (rank = 3) AS s3, max(score) FILTER (rank = 5) AS s5, stddev_pop(score) AS sigma, sum(score) AS total, max(abs(score)) AS most,
+max(score) FILTER (doc_id = g) AS gold, max(rank) FILTER (doc_id = g) AS gold_rank, max(score) FILTER (doc_id <> g) AS other FROM {0} LEFT JOIN g1 USING (qid) GROUP BY 1"""
+_TAU = """tp AS (SELECT x.qid, sign(x.u - y.u) AS su, sign(x.v - y.v) AS sv FROM (SELECT a.qid, a.doc_id, a.score AS u, b.score AS v FROM a JOIN b USING (qid, doc_id)) x JOIN (SELECT a.qid, a.doc_id, a.score AS u, b.score AS v FROM a JOIN b USING (qid, doc_id)) y ON x.qid = y.qid AND x.doc_id < y.doc_id),
+tau AS (SELECT qid, count(*) FILTER (su * sv > 0) AS c, count(*) FILTER (su * sv < 0) AS d FROM tp GROUP BY 1)"""
+
+
+@register(
+    f"""WITH {SIGNALS}, g1 AS (SELECT qid, min(doc_id) AS g FROM gold GROUP BY 1), sa AS ({_SIDE.format('a')}), sb AS ({_SIDE.format('b')}), {_TAU}
+SELECT sa.qid, round(coalesce(sa.s1 - sa.s2, 0), 6) AS a_d12, round(coalesce(sa.s1 - sa.s5, 0), 6) AS a_d15, round(coalesce(sb.s1 - sb.s2, 0), 6) AS b_d12, round(coalesce(sb.s1 - sb.s5, 0), 6) AS b_d15, round(sa.sigma, 5) AS a_sigma, round(sb.sigma, 5) AS b_sigma,
+round(CASE WHEN c + d > 0 THEN (c - d)::DOUBLE / (c + d) ELSE 1 END, 6) AS tau, round(CASE WHEN sa.total + sb.total > 0 THEN (sa.s1 + sb.s1) / (sa.total + sb.total) ELSE 0 END, 5) AS kappa,
+round(CASE WHEN sa.gold IS NOT NULL AND sb.gold IS NOT NULL THEN sa.gold - sb.gold ELSE 0 END, 6) AS cross_gold_margin, CASE WHEN sb.gold IS NOT NULL THEN sa.gold_rank END AS gold_rank_a, CASE WHEN sa.gold IS NOT NULL THEN sb.gold_rank END AS gold_rank_b,
+round(coalesce(sa.gold - sa.s3, 0), 6) AS gold_d13_a, round(coalesce(sa.gold - sa.s5, 0), 6) AS gold_d15_a, round(coalesce(sb.gold - sb.s3, 0), 6) AS gold_d13_b, round(coalesce(sb.gold - sb.s5, 0), 6) AS gold_d15_b,
+round(0.5::DOUBLE * (coalesce((sa.gold - coalesce(sa.other, 0)) / CASE WHEN sa.most > 0 THEN sa.most ELSE 1 END, 0) + coalesce((sb.gold - coalesce(sb.other, 0)) / CASE WHEN sb.most > 0 THEN sb.most ELSE 1 END, 0)), 5) AS joint_margin
+FROM sa JOIN sb USING (qid) LEFT JOIN tau ON tau.qid = sa.qid"""
+)
+def q_pair_geometry(spark: SparkSession, d: str) -> DataFrame:
+    out = stats.pair_geometry(*_signals(spark, d), _gold(spark, d))
+    rough = ("a_sigma", "b_sigma", "kappa", "joint_margin")
+    return _rounded(_rounded(out, *rough, to=5), *[c for c in out.columns if c not in (*rough, "qid", "gold_rank_a", "gold_rank_b")])
+
+
+_COMPLEMENT = f"""{SIGNALS}, g1 AS (SELECT qid, min(doc_id) AS g FROM gold GROUP BY 1), jr AS (SELECT qid, doc_id, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b USING (qid, doc_id)),
+kn AS (SELECT qid, doc_id, coalesce(ra, 999) AS ra, coalesce(rb, 999) AS rb FROM jr), sd AS (SELECT x.qid, sign(x.ra - y.ra) AS u, sign(x.rb - y.rb) AS v FROM kn x JOIN kn y ON x.qid = y.qid AND x.doc_id < y.doc_id),
+tb AS (SELECT qid, sum(u * v)::DOUBLE / nullif(sqrt((count(*) FILTER (u <> 0) * count(*) FILTER (v <> 0))::DOUBLE), 0) AS tau FROM sd GROUP BY 1),
+cp AS (SELECT jr.qid, coalesce(1.0::DOUBLE / min(ra) FILTER (gold.doc_id IS NOT NULL), 0) AS mrr_a, coalesce(1.0::DOUBLE / min(rb) FILTER (gold.doc_id IS NOT NULL), 0) AS mrr_b, count(*) FILTER (ra <= 3 AND rb <= 3) / 3.0::DOUBLE AS top3_overlap,
+  coalesce(max(jr.doc_id) FILTER (ra = 1) <> max(jr.doc_id) FILTER (rb = 1), false) AS first_differs, abs(coalesce(max(ra) FILTER (jr.doc_id = g), 999) - coalesce(max(rb) FILTER (jr.doc_id = g), 999)) AS gold_rank_gap
+  FROM jr JOIN g1 ON g1.qid = jr.qid LEFT JOIN (SELECT DISTINCT qid, doc_id FROM gold) gold ON gold.qid = jr.qid AND gold.doc_id = jr.doc_id GROUP BY 1)"""
+
+
+@register(f"WITH {_COMPLEMENT} SELECT cp.qid, round(tau, 6) AS tau, round(mrr_a, 6) AS mrr_a, round(mrr_b, 6) AS mrr_b, round(top3_overlap, 6) AS top3_overlap, first_differs, gold_rank_gap FROM cp LEFT JOIN tb USING (qid)")
+def q_complementarity(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(stats.complementarity(*_signals(spark, d), _gold(spark, d)), "tau", "mrr_a", "mrr_b", "top3_overlap")
+
+
+@register(f"WITH {_COMPLEMENT} SELECT op, qid, round(mrr - greatest(mrr_a, mrr_b), 6) AS gain FROM met JOIN cp USING (qid)")
+def q_fusion_gain(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(stats.fusion_gain(_metrics(spark, d), stats.complementarity(*_signals(spark, d), _gold(spark, d))), "gain")
+
+
+@register(
+    f"""WITH {SIGNALS}, dl2 AS (SELECT x.op, x.mrr - y.mrr AS delta FROM met x JOIN (SELECT qid, mrr FROM met WHERE op = 'rrf') y USING (qid)), nz AS (SELECT op, delta, rank() OVER (PARTITION BY op ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY op, abs(delta)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY op, abs(delta)) AS m FROM dl2 WHERE delta <> 0),
+w AS (SELECT op, count(*) AS n, coalesce(sum(r) FILTER (delta > 0), 0) AS w_plus, coalesce(sum(r) FILTER (delta < 0), 0) AS w_minus, sum(m * m - 1)::DOUBLE AS ties FROM nz GROUP BY 1)
+SELECT op, n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4.0::DOUBLE) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE), 0), 6) AS z FROM w"""
+)
+def q_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
+    m = _metrics(spark, d)
+    base = m.where("op = 'rrf'").select("qid", F.col("mrr").alias("base"))
+    return _rounded(stats.wilcoxon(m.join(base, "qid").select("op", (F.col("mrr") - F.col("base")).alias("delta")), "op"), "w_plus", "w_minus", "z")

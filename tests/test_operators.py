@@ -243,3 +243,21 @@ def test_label_separation(spark):
     assert got.keys() == want.keys()
     assert all(got[k][0] == len(c) and got[k][1] == pytest.approx(sum(c) / len(c)) for k, c in want.items())
     assert S.label_separation(cells.limit(0), labels.limit(0)).count() == 0
+
+
+def test_wilcoxon_and_gain(spark):
+    rows = [("x", v) for v in (0.5, -0.25, 0.25, 0.0, 1.0, -0.125)] + [("y", 0.0)]
+    got = stats.wilcoxon(spark.createDataFrame(rows, "op string, delta double"), "op").collect()
+    # Sizes 0.125, 0.25, 0.25, 0.5, 1.0 have the ranks 1, 2.5, 2.5, 4, 5.
+    assert [(r.op, r.n, r.w_plus, r.w_minus) for r in got] == [("x", 5, 11.5, 3.5)] and abs(got[0].z - (3.5 - 7.5) / (5 * 6 * 11 / 24 - 6 / 48) ** 0.5) < 1e-9
+    a = spark.createDataFrame([(1, 10, 3.0), (1, 11, 2.0), (1, 12, 1.0)], "qid int, doc_id int, score double")
+    b = spark.createDataFrame([(1, 12, 9.0), (1, 13, 8.0)], "qid int, doc_id int, score double")
+    gold = spark.createDataFrame([(1, 12)], "qid int, doc_id int")
+    c = stats.complementarity(a, b, gold).first()
+    # Ranks (1, 999), (2, 999), (3, 1), (999, 2): of six pairs one side ties once.
+    assert (c.mrr_a, c.mrr_b, c.gold_rank_gap, c.first_differs) == (1 / 3, 1.0, 2, True) and abs(c.tau - (1 - 4) / (6 * 5) ** 0.5) < 1e-9 and abs(c.top3_overlap - 1 / 3) < 1e-9
+    g = stats.pair_geometry(a, b, gold).first()
+    assert (g.a_d12, g.a_d15, g.b_d12, g.gold_d13_a, g.gold_rank_a, g.gold_rank_b, g.cross_gold_margin) == (1.0, 0.0, 1.0, 0.0, 3, 1, -8.0) and abs(g.kappa - 12 / 23) < 1e-9
+    assert abs(g.joint_margin - 0.5 * ((1 - 3) / 3 + (9 - 8) / 9)) < 1e-9
+    gains = stats.fusion_gain(spark.createDataFrame([("rrf", 1, 0.5)], "op string, qid int, mrr double"), stats.complementarity(a, b, gold)).collect()
+    assert [(r.op, r.gain) for r in gains] == [("rrf", -0.5)]
