@@ -13,8 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Bytes of text that are worked on at once (a longer document is a block of its own).
-BLOCK = 1_000_000
+#: Bytes of text that are worked on at once, so that their arrays of numbers stay in cache (a longer document is a block of its own).
+BLOCK = 100_000
+#: Powers of a base that are kept.
+POWERS = 1 << 21
 
 _BYTE_BASE = U(0x9E3779B97F4A7C15)
 _WORD_BASE = U(0xD6E8FEB86659FD93)
@@ -73,7 +75,7 @@ def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         ups, downs = np.full(size, base, U), np.full(size, inverse, U)
         ups[0] = downs[0] = 1
         have = np.multiply.accumulate(ups), np.multiply.accumulate(downs)
-        if size <= 2 * BLOCK:
+        if size <= POWERS:
             _POWERS[int(base)] = have
     return have[0][:n], have[1][:n]
 

@@ -176,13 +176,11 @@ def segments(anchored: DataFrame, length: int, gram: int, shard: int, buckets: i
                 if not len(least):
                     continue
                 at = np.concatenate([np.zeros(0, np.int64)] + [np.frombuffer(x, np.uint32) + own[d] for d, x in enumerate(lists[a:b]) if x])
-                wanted = np.zeros(len(least), bool)
                 at = at[at < len(hashes)]
-                for back in range(width):
-                    s = at - back
-                    go = (s >= 0) & (s < len(least))
-                    s, h = s[go], hashes[at[go]]
-                    wanted[s[least[s] == h]] = True
+                # Windows whose least hash is that of a wanted gram in them.
+                of_wanted = np.full(len(hashes), ~U(0))
+                of_wanted[at] = hashes[at]
+                wanted = slide(of_wanted, width, True)[: len(least)] == least
                 wanted &= inside
                 wanted_at = np.flatnonzero(wanted)
                 if not len(wanted_at):
