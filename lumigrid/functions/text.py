@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 WORD = r"[\p{L}\p{N}_]+"
 #: Bytes of a scan partition.
 SCAN_BYTES = 128 << 20
+#: Most bytes of a table that may be broadcast: its words fit in memory many times over.
+BROADCAST_BYTES = 2 << 20
 #: Domain acronyms that the generic-word filter keeps.
 ACRONYMS = ("ai", "ml", "nlp", "iot", "api", "p2p", "qa", "ui", "db", "id", "os")
 #: The English stop words of NLTK.
@@ -216,10 +218,30 @@ def spread(df: DataFrame) -> DataFrame:
 
     The shuffle is of at most a scan partition for each core; larger inputs have splits enough and stay as they are.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SCAN_BYTES else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if _bytes(df) < cores * SCAN_BYTES else df
+
+
+def held(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, which has at most the words of source, as the broadcast side where source has at most BROADCAST_BYTES.
+
+    Without the hint a plan may broadcast the other, larger side of a join that multiplies rows, and multiply them in
+    the few tasks of this one. Beyond the bound Catalyst chooses.
+    """
+    return F.broadcast(df) if _bytes(source) <= BROADCAST_BYTES else df
+
+
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def unfolded(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
+    """(keep..., name): a row for each value of an array of values that are not null.
+
+    A plain explode infers a filter on the size of its array, which Catalyst pushes below the exchange of `spread`: the
+    array would be computed twice, once in the tasks of the scan. The outer form with a filter behind it infers none.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
 
 
 def json_list(answer: Column) -> Column:
