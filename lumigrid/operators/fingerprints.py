@@ -191,13 +191,13 @@ def sdr(fingerprints: DataFrame, size: int, top_share: float = 0.1, distance: in
     return fingerprints.groupBy("id").applyInPandas(one, f"id {kind}, cell bigint, val double")
 
 
-def diversity(fingerprints: DataFrame, pairs_each: int = 3) -> DataFrame:
-    """One row: pairs and 1 - mean cosine of pairs that follow in the order of a hash of the id."""
-    unit = normalised(fingerprints)
-    ids = fingerprints.select("id").distinct().withColumn("share", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(64)))
-    near = Window.partitionBy("share").orderBy(F.crc32(F.col("id").cast("string").cast("binary")), "id")
-    ahead = ids.select(F.col("id").alias("a"), F.array(*[F.lead("id", k).over(near) for k in range(1, pairs_each + 1)]).alias("bs"))
-    pairs = ahead.select("a", F.explode("bs").alias("b")).where("b is not null")
-    left, right = unit.select(F.col("id").alias("a"), "cell", F.col("val").alias("va")), unit.select(F.col("id").alias("b"), "cell", F.col("val").alias("vb"))
-    dots = pairs.join(left, "a").join(right, ["b", "cell"]).groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("cosine"))
-    return pairs.join(dots, ["a", "b"], "left").agg(F.count("*").alias("n_pairs"), (1 - F.avg(F.coalesce("cosine", F.lit(0.0)))).alias("diversity"))
+def diversity(fingerprints: DataFrame) -> DataFrame:
+    """One row: pairs of different ids and 1 - their mean cosine (null without a pair).
+
+    All pairs count, and none is made: the cosines of ordered pairs add up to the squared length of the sum of the unit
+    vectors, less that of each of them. An id without length has cosine 0 to all.
+    """
+    sums = normalised(fingerprints).groupBy("cell").agg(F.sum("val").alias("s"), F.sum(F.col("val") * F.col("val")).alias("one")).agg((F.sum(F.col("s") * F.col("s")) - F.sum("one")).alias("all"))
+    n = fingerprints.agg(F.count_distinct("id").alias("n"))
+    ordered = F.col("n") * (F.col("n") - 1)
+    return n.crossJoin(sums).select((ordered / 2).cast("bigint").alias("n_pairs"), F.when(ordered > 0, 1 - F.col("all") / ordered).alias("diversity"))

@@ -465,7 +465,7 @@ def q_sdr(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(fp.sdr(_cells(spark, d), SIZE), "val", to=5)
 
 
-@register()
+@register(f"WITH {CELLS}, u AS (SELECT id, cell, val / sqrt(sum(val * val) OVER (PARTITION BY id)) AS v FROM cells), n AS (SELECT count(DISTINCT id) AS n FROM cells) SELECT (n * (n - 1) // 2)::BIGINT AS n_pairs, round(1 - (SELECT sum(a.v * b.v) FROM u a JOIN u b ON a.cell = b.cell AND a.id < b.id) / (n * (n - 1) / 2.0::DOUBLE), 6) AS diversity FROM n")
 def q_diversity(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(fp.diversity(_cells(spark, d)), "diversity")
 
@@ -512,7 +512,11 @@ def q_vector_knn(spark: SparkSession, d: str) -> DataFrame:
     return S.nearest(v.where("id % 100 = 0"), v)
 
 
-@register()
+@register(
+    """WITH k AS (SELECT vec_id AS id, b, [embedding[((b // 2) * 4 + i // 4) * 8 + (b % 2) * 4 + i % 4 + 1]::DOUBLE FOR i IN range(0, 16)] AS x FROM embeddings, range(0, 4) AS r(b)),
+p AS (SELECT q.id AS qid, d.id AS doc_id, q.b, exp(list_dot_product(q.x, d.x) / 4) AS e, coalesce(list_dot_product(q.x, d.x) / nullif(sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(d.x, d.x)), 0), 0) AS c FROM k q CROSS JOIN k d WHERE q.id % 100 = 0)
+SELECT qid, doc_id, round(sum(s) / 16, 6) AS score FROM (SELECT qid, doc_id, sum(e * c) / sum(e) AS s FROM p GROUP BY qid, doc_id, b) GROUP BY 1, 2"""
+)
 def q_block_attention(spark: SparkSession, d: str) -> DataFrame:
     v = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return _rounded(S.block_attention(v.where("id % 100 = 0"), v, SIZE), "score")
@@ -529,16 +533,8 @@ def q_pair_features(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_rounded(out, *names), "cosine", to=5).select("qid", "doc_id", *names[:3], "cosine", "popcount_q", "popcount_d", "n_and", "n_or", "n_q_only", "n_d_only", *names[3:])
 
 
-@register(f"WITH {PAIRS}, s AS (SELECT q.label = d.label AS same_label, dot / sqrt(a.ss * b.ss) AS c FROM pr JOIN nn a ON a.id = qid JOIN nn b ON b.id = doc_id JOIN embeddings q ON q.vec_id = qid JOIN embeddings d ON d.vec_id = doc_id WHERE qid <> doc_id) SELECT same_label, count(*) AS n, round(avg(c), 5) AS mean_cosine FROM s GROUP BY 1")
-def q_label_separation(spark: SparkSession, d: str) -> DataFrame:
-    labels = _read(spark, d, "embeddings").select("vec_id", "label")
-    pairs = rerank.pair_features(_query_cells(spark, d), _cells(spark, d), SIZE * SIZE, 16, 4).where("qid != doc_id").select("qid", "doc_id", "cosine")
-    joined = pairs.join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")), "qid").join(labels.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dl")), "doc_id")
-    return _rounded(joined.groupBy((F.col("ql") == F.col("dl")).alias("same_label")).agg(F.count("*").alias("n"), F.avg("cosine").alias("mean_cosine")), "mean_cosine", to=5)
-
-
 @register("WITH v AS (SELECT vec_id, label, [greatest(x::DOUBLE, 0) FOR x IN embedding] AS v FROM embeddings), l AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM v) SELECT a.label = b.label AS same_label, count(*) AS n, round(avg(coalesce(list_dot_product(a.v, b.v) / nullif(a.l * b.l, 0), 0)), 5) AS mean_cosine FROM l a JOIN l b ON a.vec_id <> b.vec_id GROUP BY 1")
-def q_label_separation_all(spark: SparkSession, d: str) -> DataFrame:
+def q_label_separation(spark: SparkSession, d: str) -> DataFrame:
     labels = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
     return _rounded(S.label_separation(_cells(spark, d), labels), "mean_cosine", to=5)
 

@@ -224,7 +224,13 @@ def q_operator_agreement(spark: SparkSession, d: str) -> DataFrame:
 CONDITIONS = (("large_45_12", 45.0, 12.0), ("large_40_15", 40.0, 15.0), ("med_35_20", 35.0, 20.0), ("small_30_25", 30.0, 25.0), ("tiny_21_19", 21.0, 19.0), ("rev_12_45", 12.0, 45.0), ("rev_18_30", 18.0, 30.0))
 
 
-@register()
+@register(
+    f"""WITH v(condition, x, y) AS (VALUES {', '.join(f"('{n}', {x}::DOUBLE, {y}::DOUBLE)" for n, x, y in CONDITIONS)}),
+pt AS (SELECT condition AS qid, 'docA' AS doc_id, x AS u, 0.5::DOUBLE * x AS w FROM v UNION ALL SELECT condition, 'docB', 0.5::DOUBLE * y, y FROM v UNION ALL SELECT condition, 'd' || i, 1.0::DOUBLE / (i + 3), 1.0::DOUBLE / (i + 3) FROM v, range(0, 5) AS r(i)),
+a AS (SELECT qid, doc_id, u AS score, row_number() OVER (PARTITION BY qid ORDER BY u DESC, doc_id) AS rank FROM pt), b AS (SELECT qid, doc_id, w AS score, row_number() OVER (PARTITION BY qid ORDER BY w DESC, doc_id) AS rank FROM pt),
+{SIGNALS[SIGNALS.index('side AS') : SIGNALS.index('gc AS')].rstrip().rstrip(',')}
+SELECT qid AS condition, op, max(rank) FILTER (doc_id = 'docA') < max(rank) FILTER (doc_id = 'docB') AS a_above_b FROM lists GROUP BY 1, 2"""
+)
 def q_magnitude_conditions(spark: SparkSession, d: str) -> DataFrame:
     """(condition, op, a_above_b): which operators keep document A above B as only the scores' sizes change."""
     rows = spark.createDataFrame(CONDITIONS, "qid string, x double, y double")
