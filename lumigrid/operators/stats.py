@@ -34,9 +34,17 @@ def average_rank(c: str) -> Column:
 
 
 def spearman(both: DataFrame) -> DataFrame:
-    """Spearman's rho of each query's list, with average ranks; null below three."""
-    r = both.withColumn("ra", average_rank("a")).withColumn("rb", average_rank("b"))
-    return r.groupBy("qid").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho")).select("qid", "n", F.when(F.col("n") >= 3, F.col("rho")).alias("rho"))
+    """Spearman's rho of each query's list, with average ranks; null below three and where a side's ranks are all equal.
+
+    Twice a rank is a whole number, so the sums are exact and a constant side has a spread of exactly 0; corr divides by
+    it, which is an error in ANSI mode.
+    """
+    r = both.select("qid", (2 * average_rank("a")).cast("decimal(38, 0)").alias("ra"), (2 * average_rank("b")).cast("decimal(38, 0)").alias("rb"))
+    a, b, n = F.col("ra"), F.col("rb"), F.col("n")
+    s = r.groupBy("qid").agg(F.count("*").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("saa"), F.sum(b * b).alias("sbb"), F.sum(a * b).alias("sab"))
+    spread = lambda x, y: (n * F.col(f"s{x}{y}") - F.col(f"s{x}") * F.col(f"s{y}")).cast("double")
+    rho = F.try_divide(spread("a", "b"), F.sqrt(spread("a", "a")) * F.sqrt(spread("b", "b")))
+    return s.select("qid", "n", F.when(n >= 3, rho).alias("rho"))
 
 
 def auc(scored: DataFrame, by: str | None = None) -> DataFrame:
