@@ -158,3 +158,24 @@ def test_magnitude_conditions(spark):
         "large_45_12": set(), "large_40_15": set(), "med_35_20": set(), "small_30_25": sized, "tiny_21_19": sized,
         "rev_12_45": sized | {"rrf", "combsum", "combmnz", "borda"}, "rev_18_30": sized | {"combsum", "combmnz"},
     }
+
+
+def test_classes_hold_every_link(spark):
+    """Links of the whole graph follow from the classes: their pairs, weights and each document's number."""
+    import random
+
+    random.seed(1)
+    counts = spark.createDataFrame([(p, d, random.choice([1, 1, 1, 2, 7])) for d in range(60) for p in ("x", "y") if random.random() < 0.7] + [("x", 3, 1), ("y", None, 5)], "phrase string, doc_id bigint, n bigint")
+    want = {(r.a, r.b): round(r.weight, 9) for r in index.legacy_graph(counts).collect()}
+    rows = index.legacy_classes(counts).collect()
+    of = {r.a: r.b for r in rows if r.kind == "member"}
+    link = {(r.a, r.b): r for r in rows if r.kind == "link"}
+    got = {}
+    for a in of:
+        for b in of:
+            pair = tuple(sorted((of[a], of[b])))
+            if a < b and pair in link:
+                got[a, b] = round(link[pair].weight, 9)
+    assert got == want and sum(r.n for r in link.values()) == len(want)
+    assert {r.a: r.n for r in rows if r.kind == "member"} == {d: sum(d in pair for pair in want) for d in of}
+    assert len(rows) < len(want)
